@@ -120,15 +120,17 @@ def _fold(text: str) -> str:
 def _single_character_folds() -> tuple[str, str, str]:
     """For the Latin blocks: characters that fold to another one, what they fold to, and the
     regex class of every character for which this table and lower-casing is the whole rule."""
-    source, target, plain = "", "", r"\x00-\x7f"
-    for code in [*range(0x80, 0x250), *range(0x1E00, 0x1F00), *range(0x2010, 0x2028)]:
-        folded = _fold(chr(code))
-        if len(folded) == 1:
-            plain += f"\\x{{{code:x}}}"
-            if folded != chr(code):
-                source += chr(code)
-                target += folded
-    return source, target, plain
+    blocks = [*range(0x80, 0x250), *range(0x1E00, 0x1F00), *range(0x2010, 0x2028)]
+    single = [code for code in blocks if len(_fold(chr(code))) == 1]
+    moved = [code for code in single if _fold(chr(code)) != chr(code)]
+    ranges = [[0, 0x7F]]
+    for code in single:
+        if code == ranges[-1][1] + 1:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    plain = "".join(f"\\x{{{low:x}}}-\\x{{{high:x}}}" for low, high in ranges)
+    return "".join(map(chr, moved)), "".join(_fold(chr(code)) for code in moved), plain
 
 
 FOLD_FROM, FOLD_TO, FOLD_CLASS = _single_character_folds()

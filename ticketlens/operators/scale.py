@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SALTS = 32
-BROADCAST_ROWS = 2_000_000
+HOT_ROWS = 500_000
 
 
 def top_k_per_group(
@@ -36,26 +36,25 @@ def latest_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], k: int
     return top_k_per_group(df, keys, [F.col(c).desc() for c in order], k, "_recent").drop("_recent")
 
 
-def salted_join(big: DataFrame, small: DataFrame, key: str, salt_from: str) -> DataFrame:
-    """Inner join on ``key`` where a few keys may hold most rows of ``big``. ``small`` has one row
-    per key and is repeated once per salt, which splits every hot key into ``SALTS`` tasks."""
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+def join_counted(
+    big: DataFrame, small: DataFrame, key: str, count: str, salt_from: str, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Inner join of ``big`` with one row per key, where ``small`` knows in ``count`` how many rows
+    of ``big`` carry the key. Keys with more than ``hot_rows`` rows are spread over ``SALTS``
+    tasks. There can be at most rows / ``hot_rows`` of them, which bounds the broadcast list."""
+    hot = small.filter(F.col(count) > hot_rows).select(key, F.lit(True).alias("_hot"))
+    salt = F.pmod(F.xxhash64(salt_from), F.lit(SALTS)).cast("int")
+    spread = F.when(F.col(count) > hot_rows, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(
+        F.array(F.lit(0))
+    )
     return (
-        big.withColumn("_salt", F.pmod(F.xxhash64(salt_from), F.lit(SALTS)).cast("int"))
-        .join(small.withColumn("_salt", salts), [key, "_salt"])
-        .drop("_salt")
+        big.join(F.broadcast(hot), key, "left")
+        .withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(0))
+        .join(small.withColumn("_salt", F.explode(spread)), [key, "_salt"])
+        .drop("_salt", "_hot")
     )
 
 
-def join_per_key(big: DataFrame, small: DataFrame, key: str, salt_from: str,
-                 small_rows: int | None = None) -> DataFrame:
-    """Inner join with a one-row-per-key table: broadcast if ``small_rows`` (a counted size) is
-    below ``BROADCAST_ROWS``, otherwise a salted shuffle join."""
-    if small_rows is not None and small_rows <= BROADCAST_ROWS:
-        return big.join(F.broadcast(small), key)
-    return salted_join(big, small, key, salt_from)
-
-
 def number_by_digest(df: DataFrame, keys: Sequence[str], digest: str, out: str) -> DataFrame:
     """``row_number()`` of each group in the order of the hex string ``digest``, without sorting a
     group in one task: rows are numbered within (group, first two hex digits), and the sizes of
