@@ -144,7 +144,7 @@ def _fold_any(texts: pd.Series) -> pd.Series:
 def normalize_accents(text: Column) -> Column:
     """Lower-case, compatibility-decompose, drop combining marks. Latin text is folded by a
     character table inside the JVM; only texts with other characters are sent to Python."""
-    other = F.rlike(text, F.lit(f"[^{FOLD_CLASS}]"))
+    other = F.rlike(text, F.lit(rf"[[^\x00-\x7f]&&[^{FOLD_CLASS}]]"))
     in_jvm = F.lower(F.translate(text, FOLD_FROM, FOLD_TO))
     return F.coalesce(_fold_any(F.when(other, text)), in_jvm)
 

@@ -10,7 +10,6 @@ from pyspark import keyword_only
 from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression, NaiveBayes
 from pyspark.ml.feature import (
-    IDF,
     CountVectorizer,
     ElementwiseProduct,
     Normalizer,
@@ -35,13 +34,19 @@ from ticketlens.fixed_values import (
     NB_SMOOTHING,
 )
 from ticketlens.functions.text import clean_text, mask_pii, normalize_accents, pii_counts
-from ticketlens.operators.features import char_terms, word_terms
+from ticketlens.operators.features import (
+    char_counts,
+    char_terms,
+    vocabulary,
+    word_counts,
+    word_terms,
+)
 from ticketlens.operators.scale import join_counted
 from ticketlens.operators.scores import classification_metrics, macro_f1
 from ticketlens.operators.splits import stratified_folds
 from ticketlens.session import materialise
 
-MAX_WORD_TERMS = 1 << 22
+MAX_TERMS = 1 << 22
 
 
 class TermArray(Transformer, DefaultParamsReadable, DefaultParamsWritable):
@@ -89,20 +94,6 @@ class SublinearCounts(Transformer, DefaultParamsReadable, DefaultParamsWritable)
         return df.withColumn(self.getOrDefault("outputCol"), F.from_json(text, shape)["v"])
 
 
-class SmoothIdf(Estimator):
-    """Multiplies by ln((1 + N) / (1 + df)) + 1; the stock IDF lacks the final 1."""
-
-    def __init__(self, counts: str, inputCol: str, outputCol: str):
-        super().__init__()
-        self.counts, self.inputCol, self.outputCol = counts, inputCol, outputCol
-
-    def _fit(self, df: DataFrame):
-        idf = IDF(inputCol=self.counts, outputCol="_idf").fit(df).idf.toArray() + 1.0
-        return ElementwiseProduct(
-            scalingVec=Vectors.dense(idf), inputCol=self.inputCol, outputCol=self.outputCol
-        )
-
-
 class TextFeatures(Estimator):
     """TF-IDF of words and word pairs (at least 2 documents) next to that of character n-grams
     (at least 3 documents, the most frequent ones), as one vector column."""
@@ -111,27 +102,41 @@ class TextFeatures(Estimator):
         super().__init__()
         self.inputCol, self.outputCol, self.char_features = inputCol, outputCol, char_features
 
-    def _part(self, kind: str, min_df: int, size: int) -> Pipeline:
+    def _part(self, df: DataFrame, kind: str) -> list[Transformer]:
+        """Vocabulary and idf come from the long form, where terms are counted before any shuffle;
+        only the finished list of terms reaches the driver."""
+        rows = df.select(F.monotonically_increasing_id().alias("_row"), self.inputCol)
+        text = F.col(self.inputCol)
+        if kind == "word":
+            counts = word_counts(rows, "_row", normalize_accents(text))
+            terms = vocabulary(counts, rows, 2)
+        else:
+            counts = char_counts(rows, "_row", F.lower(text))
+            terms = vocabulary(counts, rows, 3, self.char_features)
+        terms = materialise(terms.select("term", "idf"), f"{kind}-vocabulary")
+        if terms.count() > MAX_TERMS:
+            raise ValueError(
+                f"more than {MAX_TERMS} {kind} terms: use the long-form naive Bayes instead"
+            )
+        idf = dict(zip(*[column for _, column in terms.toPandas().items()]))
         p = f"_{kind}"
-        return Pipeline(stages=[
+        counter = CountVectorizer(
+            inputCol=f"{p}_terms", outputCol=f"{p}_tf", minDF=1, vocabSize=max(1, len(idf))
+        ).fit(terms.select(F.array("term").alias(f"{p}_terms")))
+        return [
             TermArray(inputCol=self.inputCol, outputCol=f"{p}_terms", kind=kind),
-            CountVectorizer(inputCol=f"{p}_terms", outputCol=f"{p}_tf", minDF=min_df,
-                            vocabSize=size),
+            counter,
             SublinearCounts(inputCol=f"{p}_tf", outputCol=f"{p}_log"),
-            SmoothIdf(f"{p}_tf", f"{p}_log", f"{p}_idf"),
+            ElementwiseProduct(scalingVec=Vectors.dense([idf[t] for t in counter.vocabulary]),
+                               inputCol=f"{p}_log", outputCol=f"{p}_idf"),
             Normalizer(inputCol=f"{p}_idf", outputCol=f"{p}_unit", p=2.0),
-        ])
+        ]
 
     def _fit(self, df: DataFrame) -> PipelineModel:
-        words = self._part("word", 2, MAX_WORD_TERMS).fit(df)
-        if len(words.stages[1].vocabulary) >= MAX_WORD_TERMS:
-            raise ValueError(
-                f"more than {MAX_WORD_TERMS} word terms: use the long-form naive Bayes instead"
-            )
-        chars = self._part("char", 3, self.char_features).fit(df)
+        parts = [*self._part(df, "word"), *self._part(df, "char")]
         used = [f"_{k}_{s}" for k in ("word", "char") for s in ("terms", "tf", "log", "idf", "unit")]
         join = VectorAssembler(inputCols=["_word_unit", "_char_unit"], outputCol=self.outputCol)
-        return PipelineModel([words, chars, join, DropColumns(columns=used)])
+        return PipelineModel([*parts, join, DropColumns(columns=used)])
 
 
 class DropColumns(Transformer, DefaultParamsReadable, DefaultParamsWritable):
@@ -310,10 +315,10 @@ def triage_batch(
     )
     done = priority_model.transform(categorised).withColumnRenamed("predicted_priority", "priority")
     return (
-        done.withColumn("auto_routed", F.col("category_confidence") >= threshold)
+        done.drop(text, "text").withColumnRenamed("_original", text)
+        .withColumn("auto_routed", F.col("category_confidence") >= threshold)
         .withColumn("category_confidence", F.bround("category_confidence", 3))
         .withColumn("priority_confidence", F.bround("priority_confidence", 3))
-        .drop("text").withColumnRenamed("_original", text)
     )
 
 
@@ -324,7 +329,7 @@ def classify_masked(
     """Triage of the masked text, with the masked text and the counts of what was masked."""
     counts = [n.alias(f"n_{label.lower()}") for label, n in pii_counts(F.col(text)).items()]
     masked = rows.select("*", *counts, mask_pii(F.col(text)).alias("masked_text")).drop(text)
-    return triage_batch(masked, category_model, priority_model, "masked_text")
+    return triage_batch(masked, category_model, priority_model, text="masked_text")
 
 
 # --- complement naive Bayes in long form --------------------------------------------------------

@@ -25,37 +25,52 @@ def word_terms(folded: Column, bigrams: bool = True) -> Column:
     words = F.regexp_extract_all(folded, F.lit(f"[{WORD}]{{2,}}"), 0)
     if not bigrams:
         return words
-    following = F.slice(words, 2, 2147483647)
-    pairs = F.zip_with(words, following, lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.concat(words, F.filter(pairs, lambda p: p.isNotNull()))
+    pairs = F.greatest(F.size(words) - 1, F.lit(0))
+    first, second = F.slice(words, F.lit(1), pairs), F.slice(words, F.lit(2), pairs)
+    return F.concat(words, F.zip_with(first, second, lambda a, b: F.concat(a, F.lit(" "), b)))
 
 
 def char_terms(lowered: Column, low: int = 3, high: int = 5) -> Column:
     """Character n-grams that do not cross word bounds; each word is padded with one blank."""
     words = F.filter(F.split(lowered, r"(?U)\s+"), lambda w: w != "")
 
+    def of_size(padded: Column, n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length(padded) - n + 1)
+        found = F.transform(starts, lambda i: F.substr(padded, i, F.lit(n)))
+        return F.when(F.length(padded) >= n, found).otherwise(F.array().cast("array<string>"))
+
     def grams(word: Column) -> Column:
         padded = F.concat(F.lit(" "), word, F.lit(" "))
-        length = F.length(padded)
-        sizes = [
-            F.when(
-                length >= n,
-                F.transform(F.sequence(F.lit(1), length - n + 1),
-                            lambda i, n=n: F.substr(padded, i, F.lit(n))),
-            ).otherwise(F.array().cast("array<string>"))
-            for n in range(low, high + 1)
-        ]
-        return F.concat(*sizes)
+        return F.concat(*[of_size(padded, n) for n in range(low, high + 1)])
 
     return F.flatten(F.transform(words, grams))
 
 
-def term_counts(documents: DataFrame, key: str, terms: Column) -> DataFrame:
+def _counted(rows: DataFrame, key: str) -> DataFrame:
     """(key, term, tf). Counted within each task before the shuffle."""
-    return (
-        documents.select(key, F.explode(terms).alias("term"))
-        .groupBy(key, "term")
-        .agg(F.count("*").alias("tf"))
+    return rows.groupBy(key, "term").agg(F.count("*").alias("tf"))
+
+
+def word_counts(documents: DataFrame, key: str, folded: Column) -> DataFrame:
+    """(key, term, tf) of words and neighbouring pairs."""
+    return _counted(documents.select(key, F.explode(word_terms(folded)).alias("term")), key)
+
+
+def char_counts(documents: DataFrame, key: str, lowered: Column, low: int = 3,
+                high: int = 5) -> DataFrame:
+    """(key, term, tf) of ``char_terms``, one row per word and start so that all of it is
+    generated code."""
+    word = F.concat(F.lit(" "), F.col("_word"), F.lit(" "))
+    words = documents.select(key, F.explode(F.split(lowered, r"(?U)\s+")).alias("_word"))
+    starts = words.filter("_word <> ''").select(key, word.alias("_word")).select(
+        key, "_word", F.explode(F.sequence(F.lit(1), F.length("_word") - low + 1)).alias("_at")
+    )
+    grams = F.array(*[
+        F.when(F.col("_at") + n - 1 <= F.length("_word"), F.substr("_word", "_at", F.lit(n)))
+        for n in range(low, high + 1)
+    ])
+    return _counted(
+        starts.select(key, F.explode(grams).alias("term")).filter("term IS NOT NULL"), key
     )
 
 
@@ -90,7 +105,7 @@ def weigh(counts: DataFrame, key: str, terms: DataFrame, sublinear: bool = True)
 def tfidf_words(documents: DataFrame, key: str, text: str, min_df: int = 2,
                 sublinear: bool = True) -> DataFrame:
     """Word and word-pair weights, accents removed."""
-    counts = term_counts(documents, key, word_terms(normalize_accents(F.col(text))))
+    counts = word_counts(documents, key, normalize_accents(F.col(text)))
     return weigh(counts, key, vocabulary(counts, documents, min_df), sublinear)
 
 
@@ -98,7 +113,7 @@ def tfidf_chars(documents: DataFrame, key: str, text: str, min_df: int = 3,
                 max_features: int | None = CHAR_FEATURES, fold: bool = False) -> DataFrame:
     """Character n-gram weights; accents are kept unless ``fold``."""
     lowered = normalize_accents(F.col(text)) if fold else F.lower(text)
-    counts = term_counts(documents, key, char_terms(lowered))
+    counts = char_counts(documents, key, lowered)
     return weigh(counts, key, vocabulary(counts, documents, min_df, max_features))
 
 
@@ -176,7 +191,7 @@ def fit_lsa(documents: DataFrame, key: str, text: str, dims: int = LSA_DIMS, ite
     Randomised subspace iteration (Halko, Martinsson and Tropp, 2011) on the long table: products
     with the matrix and its transpose are join + weighted sum, so neither side is ever held whole;
     only matrices of ``dims + oversample`` squared reach the driver."""
-    counts = term_counts(documents, key, word_terms(normalize_accents(F.col(text))))
+    counts = word_counts(documents, key, normalize_accents(F.col(text)))
     counts = materialise(counts, "lsa-counts")
     terms = materialise(vocabulary(counts, documents, 1), "lsa-terms")
     a = materialise(weigh(counts, key, terms), "lsa-weights")
@@ -213,7 +228,7 @@ def fit_lsa(documents: DataFrame, key: str, text: str, dims: int = LSA_DIMS, ite
 def embed_lsa(documents: DataFrame, key: str, text: str, components: DataFrame) -> DataFrame:
     """(key, vector): unit vectors of the documents in the fitted space. Documents that share no
     term with it have no row."""
-    counts = term_counts(documents, key, word_terms(normalize_accents(F.col(text))))
+    counts = word_counts(documents, key, normalize_accents(F.col(text)))
     weights = weigh(counts, key, components.select("term", "df", "idf"))
     joined = join_counted(weights, components.select("term", "df", "vec"), "term", "df", key)
     summed = _weighted_sums(joined, key, "vec", "weight")

@@ -104,7 +104,7 @@ QUERIES = {
     ),
     "x5_spearman": lambda s, d: x.spearman(Desk(s, d).tickets, "resolution_hours", "csat"),
     "x6_late_by_carrier": lambda s, d: x.late_by_carrier(Desk(s, d).orders),
-    "x7_body_length": lambda s, d: x.length_quantiles(Desk(s, d).table("documents"), "text"),
+    "x7_body_length": lambda s, d: x.length_quantiles(Desk(s, d).documents, "text"),
 }
 
 _DAY = "CAST(created_at AS DATE)"

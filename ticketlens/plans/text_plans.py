@@ -23,7 +23,7 @@ from ticketlens.sources.sinks import audit_records, record_rows
 
 
 def _documents(spark, folder):
-    return Desk(spark, folder).table("documents").select("doc_id", "text")
+    return Desk(spark, folder).documents.select("doc_id", "text")
 
 
 def _per_document(**columns):

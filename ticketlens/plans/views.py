@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlens.session import use_utc
+from ticketlens.session import spread, use_utc
 from ticketlens.sources.tables import read_table
 
 VIEWS = {
@@ -67,6 +67,13 @@ VIEWS = {
     "qrels_v": """
         SELECT b.item_id, d.doc_id
         FROM benchmark b JOIN documents d ON contains(d.text, b.text)""",
+    "predictions_v": """
+        SELECT ticket_id, priority AS label,
+               CASE WHEN ticket_id % 10 < 7 THEN priority
+                    ELSE CASE ticket_id % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'urgent'
+                         WHEN 2 THEN 'medium' ELSE 'high' END END AS prediction,
+               (ticket_id % 97) / 97.0::DOUBLE AS confidence
+        FROM tickets_v""",
     "messages_v": """
         SELECT conv_id * 1000 + turn AS message_id, conv_id % 1500 AS customer_id,
                concat(text, CASE (conv_id + turn) % 11
@@ -107,6 +114,7 @@ NEEDS = {
     "customer_safe_v": ["customers_v"],
     "order_heads_v": ["orders_v"],
     "ticket_texts_v": ["tickets_v"],
+    "predictions_v": ["tickets_v"],
 }
 
 
@@ -132,6 +140,10 @@ class Desk:
     def table(self, name: str) -> DataFrame:
         return read_table(self.spark, self.folder, name)
 
+    @cached_property
+    def documents(self) -> DataFrame:
+        return spread(self.table("documents"))
+
     @cached_property
     def customers(self) -> DataFrame:
         balance = F.col("c_acctbal")
@@ -216,7 +228,7 @@ class Desk:
 
     @cached_property
     def ticket_texts(self) -> DataFrame:
-        texts = self.table("documents").select(
+        texts = self.documents.select(
             F.col("doc_id").alias("ticket_id"), F.col("text").alias("body"), "lang", "source"
         )
         return self.tickets.join(texts, "ticket_id")
@@ -232,7 +244,7 @@ class Desk:
 
     @cached_property
     def sections(self) -> DataFrame:
-        return self.table("documents").select(
+        return self.documents.select(
             "doc_id",
             F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".md")).alias("source"),
             F.concat(
@@ -241,6 +253,43 @@ class Desk:
             ).alias("raw"),
         )
 
+    @cached_property
+    def qrels(self) -> DataFrame:
+        """Which passages each document contains. A document that holds a passage also holds its
+        inner words in a row, so four of them are the join key; the whole text decides."""
+        passages = self.table("benchmark").select(
+            "item_id", F.col("text").alias("passage"), F.split("text", r"\s+").alias("_w")
+        )
+        if passages.filter(F.size("_w") < 6).count():
+            raise ValueError("a passage is too short for the join key")
+        keyed = passages.select(
+            "item_id", "passage", F.array_join(F.slice("_w", 2, 4), " ").alias("_key")
+        )
+        documents = self.documents.select("doc_id", "text")
+        grams = documents.select("doc_id", F.split("text", r"\s+").alias("_w")).filter(
+            F.size("_w") >= 4
+        ).select(
+            "doc_id",
+            F.explode(F.transform(F.sequence(F.lit(1), F.size("_w") - 3),
+                                  lambda i: F.array_join(F.slice("_w", i, 4), " "))).alias("_key"),
+        )
+        pairs = grams.join(keyed, "_key").select("item_id", "doc_id", "passage").distinct()
+        return pairs.join(documents, "doc_id").filter(
+            F.contains("text", F.col("passage"))
+        ).select("item_id", "doc_id")
+
+    @cached_property
+    def predictions(self) -> DataFrame:
+        key = F.col("ticket_id")
+        other = F.when(key % 4 == 0, "low").when(key % 4 == 1, "urgent").when(
+            key % 4 == 2, "medium").otherwise("high")
+        return self.tickets.select(
+            "ticket_id",
+            F.col("priority").alias("label"),
+            F.when(key % 10 < 7, F.col("priority")).otherwise(other).alias("prediction"),
+            ((key % 97) / F.lit(97.0)).alias("confidence"),
+        )
+
     @cached_property
     def messages(self) -> DataFrame:
         turn = (F.col("conv_id") + F.col("turn")) % 11

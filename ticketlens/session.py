@@ -53,10 +53,19 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/ticketlens/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def spread(scan: DataFrame) -> DataFrame:
+    """A table scan over at least as many tasks as there are cores. Text work is heavy per byte,
+    so a table of few files is dealt out first; a table of many files is left as it is."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
+def materialise(df: DataFrame, label: str, heavy: bool = False) -> DataFrame:
     """Write ``df`` once below the shared folder and read it back. Unlike a cache, the table
-    outlives lost executors, and later steps neither recompute nor re-plan what produced it."""
+    outlives lost executors, and later steps neither recompute nor re-plan what produced it.
+    ``heavy``: the rows are going to cost much work each."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    return spread(table) if heavy else table
