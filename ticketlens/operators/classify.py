@@ -98,21 +98,20 @@ class TextFeatures(Estimator):
     """TF-IDF of words and word pairs (at least 2 documents) next to that of character n-grams
     (at least 3 documents, the most frequent ones), as one vector column."""
 
-    def __init__(self, inputCol: str, outputCol: str, char_features: int = CHAR_FEATURES):
+    def __init__(self, keyCol: str, inputCol: str, outputCol: str,
+                 char_features: int = CHAR_FEATURES):
         super().__init__()
-        self.inputCol, self.outputCol, self.char_features = inputCol, outputCol, char_features
+        self.keyCol, self.inputCol, self.outputCol = keyCol, inputCol, outputCol
+        self.char_features = char_features
 
     def _part(self, df: DataFrame, kind: str) -> list[Transformer]:
         """Vocabulary and idf come from the long form, where terms are counted before any shuffle;
         only the finished list of terms reaches the driver."""
-        rows = df.select(F.monotonically_increasing_id().alias("_row"), self.inputCol)
-        text = F.col(self.inputCol)
         if kind == "word":
-            counts = word_counts(rows, "_row", normalize_accents(text))
-            terms = vocabulary(counts, rows, 2)
+            terms = vocabulary(word_counts(df, self.keyCol, self.inputCol), df, 2)
         else:
-            counts = char_counts(rows, "_row", F.lower(text))
-            terms = vocabulary(counts, rows, 3, self.char_features)
+            counts = char_counts(df, self.keyCol, self.inputCol)
+            terms = vocabulary(counts, df, 3, self.char_features)
         terms = materialise(terms.select("term", "idf"), f"{kind}-vocabulary")
         if terms.count() > MAX_TERMS:
             raise ValueError(
@@ -207,7 +206,7 @@ def balanced_weights(train: DataFrame, label: str, out: str) -> DataFrame:
 def fit_classifier(
     train: DataFrame, label: str, model: str, text: str = "text", prediction: str = "prediction",
     confidence: str = "confidence", c: float = 4.0, max_iter: int = 100,
-    categorical: tuple[str, ...] = (), char_features: int = CHAR_FEATURES,
+    categorical: tuple[str, ...] = (), char_features: int = CHAR_FEATURES, key: str = "ticket_id",
 ) -> PipelineModel:
     """``model`` is ``dummy``, ``bayes`` or ``logistic``. ``categorical`` columns are added one-hot;
     a value not seen in training becomes all zeros."""
@@ -217,7 +216,7 @@ def fit_classifier(
     labels = [r[0] for r in train.select(label).distinct().orderBy(label).collect()]
     position = F.array_position(F.array(*[F.lit(v) for v in labels]), F.col(label)) - 1
     rows = balanced_weights(train, label, "_weight").withColumn("_label", position.cast("double"))
-    features = TextFeatures(text, "_text_features", char_features).fit(rows)
+    features = TextFeatures(key, text, "_text_features", char_features).fit(rows)
     stages = [features]
     inputs = ["_text_features"]
     for name in categorical:
@@ -260,7 +259,9 @@ def cross_validate(
     rows = []
     for model in models:
         for fold in range(folds):
-            fitted = fit_classifier(dealt.filter(F.col("fold") != fold), label, model, **settings)
+            fitted = fit_classifier(
+                dealt.filter(F.col("fold") != fold), label, model, key=key, **settings
+            )
             tested = fitted.transform(dealt.filter(F.col("fold") == fold))
             score = macro_f1(tested.select(F.col(label).alias("label"), "prediction"))
             rows.append((model, fold, float(score)))
@@ -286,7 +287,7 @@ def train_category(
 ) -> tuple[PipelineModel, str, DataFrame]:
     """Select by cross-validation on the training rows, refit on all of them, score the test."""
     best = select_model(cv_summary(cross_validate(train, label, key, models, **settings)), models)
-    fitted = fit_classifier(train, label, best, **settings)
+    fitted = fit_classifier(train, label, best, key=key, **settings)
     tested = fitted.transform(test).select(F.col(label).alias("label"), "prediction", "confidence")
     return fitted, best, classification_metrics(tested)
 

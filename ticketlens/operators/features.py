@@ -19,6 +19,8 @@ from ticketlens.functions.text import WORD, normalize_accents
 from ticketlens.operators.scale import join_counted, top_k_per_group
 from ticketlens.session import materialise
 
+BROADCAST_TERMS = 1_000_000
+
 
 def word_terms(folded: Column, bigrams: bool = True) -> Column:
     """Words of two or more characters of a folded text and, after them, neighbouring pairs."""
@@ -46,22 +48,32 @@ def char_terms(lowered: Column, low: int = 3, high: int = 5) -> Column:
     return F.flatten(F.transform(words, grams))
 
 
+def _folded(documents: DataFrame, key: str, text: str, fold: bool) -> DataFrame:
+    """(key, _text), one shuffle of the texts by document. Everything that follows per document
+    (counts, norms, gathering) finds its rows together, so none of the far more numerous term rows
+    are shuffled for it."""
+    # Folding comes before the shuffle: a Python step after it would hide the partitioning.
+    folded = normalize_accents(F.col(text)) if fold else F.lower(text)
+    return documents.select(key, folded.alias("_text")).repartition(key)
+
+
 def _counted(rows: DataFrame, key: str) -> DataFrame:
-    """(key, term, tf). Counted within each task before the shuffle."""
     return rows.groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def word_counts(documents: DataFrame, key: str, folded: Column) -> DataFrame:
-    """(key, term, tf) of words and neighbouring pairs."""
-    return _counted(documents.select(key, F.explode(word_terms(folded)).alias("term")), key)
+def word_counts(documents: DataFrame, key: str, text: str, fold: bool = True) -> DataFrame:
+    """(key, term, tf) of words and neighbouring pairs, partitioned by document."""
+    rows = _folded(documents, key, text, fold)
+    return _counted(rows.select(key, F.explode(word_terms(F.col("_text"))).alias("term")), key)
 
 
-def char_counts(documents: DataFrame, key: str, lowered: Column, low: int = 3,
+def char_counts(documents: DataFrame, key: str, text: str, fold: bool = False, low: int = 3,
                 high: int = 5) -> DataFrame:
     """(key, term, tf) of ``char_terms``, one row per word and start so that all of it is
-    generated code."""
+    generated code; partitioned by document."""
+    rows = _folded(documents, key, text, fold)
     word = F.concat(F.lit(" "), F.col("_word"), F.lit(" "))
-    words = documents.select(key, F.explode(F.split(lowered, r"(?U)\s+")).alias("_word"))
+    words = rows.select(key, F.explode(F.split("_text", r"(?U)\s+")).alias("_word"))
     starts = words.filter("_word <> ''").select(key, word.alias("_word")).select(
         key, "_word", F.explode(F.sequence(F.lit(1), F.length("_word") - low + 1)).alias("_at")
     )
@@ -91,11 +103,20 @@ def vocabulary(
     )
 
 
-def weigh(counts: DataFrame, key: str, terms: DataFrame, sublinear: bool = True) -> DataFrame:
-    """(key, term, weight), unit length per document, over the terms of the vocabulary. The result
-    stays partitioned by document."""
+def join_terms(rows: DataFrame, terms: DataFrame, key: str, size: int | None = None) -> DataFrame:
+    """Term rows with their vocabulary entry. A vocabulary of a counted ``size`` up to
+    ``BROADCAST_TERMS`` is broadcast, which leaves the rows where they are; a larger or unknown
+    one is joined by a shuffle that splits frequent terms."""
+    if size is not None and size <= BROADCAST_TERMS:
+        return rows.join(F.broadcast(terms), "term")
+    return join_counted(rows, terms, "term", "df", key)
+
+
+def weigh(counts: DataFrame, key: str, terms: DataFrame, sublinear: bool = True,
+          size: int | None = None) -> DataFrame:
+    """(key, term, weight), unit length per document, over the terms of the vocabulary."""
     tf = 1 + F.ln("tf") if sublinear else F.col("tf")
-    raw = join_counted(counts, terms, "term", "df", key).select(
+    raw = join_terms(counts, terms, key, size).select(
         key, "term", (tf * F.col("idf")).alias("_w")
     )
     length = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))
@@ -105,16 +126,17 @@ def weigh(counts: DataFrame, key: str, terms: DataFrame, sublinear: bool = True)
 def tfidf_words(documents: DataFrame, key: str, text: str, min_df: int = 2,
                 sublinear: bool = True) -> DataFrame:
     """Word and word-pair weights, accents removed."""
-    counts = word_counts(documents, key, normalize_accents(F.col(text)))
-    return weigh(counts, key, vocabulary(counts, documents, min_df), sublinear)
+    counts = word_counts(documents, key, text)
+    terms = materialise(vocabulary(counts, documents, min_df), "word-terms")
+    return weigh(counts, key, terms, sublinear, terms.count())
 
 
 def tfidf_chars(documents: DataFrame, key: str, text: str, min_df: int = 3,
                 max_features: int | None = CHAR_FEATURES, fold: bool = False) -> DataFrame:
     """Character n-gram weights; accents are kept unless ``fold``."""
-    lowered = normalize_accents(F.col(text)) if fold else F.lower(text)
-    counts = char_counts(documents, key, lowered)
-    return weigh(counts, key, vocabulary(counts, documents, min_df, max_features))
+    counts = char_counts(documents, key, text, fold)
+    terms = materialise(vocabulary(counts, documents, min_df, max_features), "char-terms")
+    return weigh(counts, key, terms, size=terms.count())
 
 
 def discriminative_terms(documents: DataFrame, key: str, text: str, label: str, min_df: int = 5,
@@ -191,10 +213,9 @@ def fit_lsa(documents: DataFrame, key: str, text: str, dims: int = LSA_DIMS, ite
     Randomised subspace iteration (Halko, Martinsson and Tropp, 2011) on the long table: products
     with the matrix and its transpose are join + weighted sum, so neither side is ever held whole;
     only matrices of ``dims + oversample`` squared reach the driver."""
-    counts = word_counts(documents, key, normalize_accents(F.col(text)))
-    counts = materialise(counts, "lsa-counts")
+    counts = word_counts(documents, key, text)
     terms = materialise(vocabulary(counts, documents, 1), "lsa-terms")
-    a = materialise(weigh(counts, key, terms), "lsa-weights")
+    a = materialise(weigh(counts, key, terms, size=terms.count()), "lsa-weights")
     dims = max(2, min(dims, documents.count() - 1, terms.count() - 1))
     size = dims + oversample
     sign = F.transform(
@@ -228,8 +249,8 @@ def fit_lsa(documents: DataFrame, key: str, text: str, dims: int = LSA_DIMS, ite
 def embed_lsa(documents: DataFrame, key: str, text: str, components: DataFrame) -> DataFrame:
     """(key, vector): unit vectors of the documents in the fitted space. Documents that share no
     term with it have no row."""
-    counts = word_counts(documents, key, normalize_accents(F.col(text)))
-    weights = weigh(counts, key, components.select("term", "df", "idf"))
+    counts = word_counts(documents, key, text)
+    weights = weigh(counts, key, components.select("term", "df", "idf"), size=components.count())
     joined = join_counted(weights, components.select("term", "df", "vec"), "term", "df", key)
     summed = _weighted_sums(joined, key, "vec", "weight")
     return summed.select(key, normalise(F.col("vec")).alias("vector"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ticketlens.operators.analytics import percent, sla_target
 from ticketlens.operators.scale import running_share
+from ticketlens.session import materialise
 
 
 def ticket_frame(tickets: DataFrame, customers: DataFrame) -> DataFrame:
@@ -65,6 +66,7 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
         .groupBy("x", "y")
         .agg(F.count("*").alias("n"))
     )
+    pairs = materialise(pairs, "rank-pairs")
     for c in ("x", "y"):
         hist = pairs.groupBy(c).agg(F.sum("n").alias("w"))
         ranks = running_share(hist, c, "w", "before").select(

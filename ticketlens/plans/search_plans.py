@@ -46,12 +46,13 @@ def _dense(s, d, n=10) -> DataFrame:
 
 def _keyword(s, d, n=10) -> DataFrame:
     documents = Desk(s, d).documents.select(F.col("doc_id").alias("chunk_id"), "text")
-    counts = f.char_counts(documents, "chunk_id", t.normalize_accents(F.col("text")))
-    terms = f.vocabulary(counts, documents, 1)
+    counts = f.char_counts(documents, "chunk_id", "text", fold=True)
+    terms = materialise(f.vocabulary(counts, documents, 1), "char-terms")
+    size = terms.count()
     items = Desk(s, d).table("benchmark").select(F.col("item_id").alias("query_id"), "text")
-    asked = f.char_counts(items, "query_id", t.normalize_accents(F.col("text")))
-    weights = materialise(f.weigh(asked, "query_id", terms), "query-terms")
-    return r.keyword_topk(weights, f.weigh(counts, "chunk_id", terms), n)
+    asked = f.char_counts(items, "query_id", "text", fold=True)
+    weights = materialise(f.weigh(asked, "query_id", terms, size=size), "query-terms")
+    return r.keyword_topk(weights, f.weigh(counts, "chunk_id", terms, size=size), n)
 
 
 def _item_dense(s, d) -> DataFrame:
