@@ -7,8 +7,6 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -162,10 +160,14 @@ def discriminative_terms(documents: DataFrame, key: str, text: str, label: str,
 # --- latent semantic vectors ------------------------------------------------------------------
 
 
-def _weighted_sums(rows: DataFrame, by: str, vector: str, weight: str) -> DataFrame:
-    """(by, vec): sum of weight * vector per group, combined within tasks before the shuffle."""
-    total = Summarizer.sum(array_to_vector(F.col(vector)), F.col(weight))
-    return rows.groupBy(by).agg(vector_to_array(total).alias("vec"))
+def _weighted_sums(rows: DataFrame, by: str, size: int) -> DataFrame:
+    """(by, vec): sum of weight * vec per group. One plain sum per dimension, so that the sums are
+    fixed-width hash aggregates, combined within tasks before the shuffle."""
+    at = range(size)
+    sums = rows.groupBy(by).agg(
+        *[F.sum(F.col("weight") * F.col("vec")[i]).alias(f"_{i}") for i in at]
+    )
+    return sums.select(by, F.array(*[F.col(f"_{i}") for i in at]).alias("vec"))
 
 
 def _gram(rows: DataFrame, size: int) -> np.ndarray:
@@ -180,8 +182,8 @@ def _gram(rows: DataFrame, size: int) -> np.ndarray:
         yield pd.DataFrame({"i": range(size), "vec": list(total)})
 
     parts = rows.select("vec").mapInPandas(partial, "i int, vec array<double>")
-    added = parts.withColumn("one", F.lit(1.0))
-    summed = _weighted_sums(added, "i", "vec", "one").orderBy("i").collect()
+    added = parts.withColumn("weight", F.lit(1.0))
+    summed = _weighted_sums(added, "i", size).orderBy("i").collect()
     return np.array([r["vec"] for r in summed])
 
 
@@ -226,10 +228,10 @@ def fit_lsa(documents: DataFrame, key: str, text: str, dims: int = LSA_DIMS, ite
 
     def times_a(right: DataFrame) -> DataFrame:
         joined = join_counted(a, right, "term", "df", key)
-        return materialise(_weighted_sums(joined, key, "vec", "weight"), "lsa-left")
+        return materialise(_weighted_sums(joined, key, size), "lsa-left")
 
     def times_a_transposed(left: DataFrame) -> DataFrame:
-        products = _weighted_sums(a.join(left, key), "term", "vec", "weight")
+        products = _weighted_sums(a.join(left, key), "term", size)
         return materialise(products.join(terms.select("term", "df"), "term"), "lsa-right")
 
     left = _orthonormal(times_a(right), key, size)
@@ -252,5 +254,6 @@ def embed_lsa(documents: DataFrame, key: str, text: str, components: DataFrame)
     counts = word_counts(documents, key, text)
     weights = weigh(counts, key, components.select("term", "df", "idf"), size=components.count())
     joined = join_counted(weights, components.select("term", "df", "vec"), "term", "df", key)
-    summed = _weighted_sums(joined, key, "vec", "weight")
+    size = components.select(F.size("vec")).first()[0]
+    summed = _weighted_sums(joined, key, size)
     return summed.select(key, normalise(F.col("vec")).alias("vector"))

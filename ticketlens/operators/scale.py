@@ -57,9 +57,9 @@ def join_counted(
 
 def number_by_digest(df: DataFrame, keys: Sequence[str], digest: str, out: str) -> DataFrame:
     """``row_number()`` of each group in the order of the hex string ``digest``, without sorting a
-    group in one task: rows are numbered within (group, first two hex digits), and the sizes of
-    the earlier buckets (256 small rows per group) are added."""
-    bucket = F.substring(digest, 1, 2)
+    group in one task: rows are numbered within (group, first three hex digits), and the sizes of
+    the earlier buckets (4096 small rows per group) are added."""
+    bucket = F.substring(digest, 1, 3)
     rows = df.withColumn("_bucket", bucket)
     sizes = rows.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -7,7 +7,13 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticketlens.fixed_values import CATEGORIES, CATEGORY_SOURCES, STATUS_LABELS, STOPWORDS
+from ticketlens.fixed_values import (
+    CATEGORIES,
+    CATEGORY_SOURCES,
+    QUALITY_GATES,
+    STATUS_LABELS,
+    STOPWORDS,
+)
 from ticketlens.functions import text as t
 from ticketlens.functions.sql_audit import audit
 from ticketlens.operators import answers as an
@@ -19,6 +25,7 @@ from ticketlens.operators.analytics import order_lookup_batch
 from ticketlens.operators.documents import chunk_markdown
 from ticketlens.plans import oracle_terms as ot
 from ticketlens.plans import oracle_text as o
+from ticketlens.plans.learning_plans import ORACLE as LEARNING
 from ticketlens.plans.text_plans import ORACLE as TEXT_ORACLE
 from ticketlens.plans.views import Desk, with_views
 from ticketlens.session import materialise, scratch_path
@@ -418,3 +425,20 @@ ORACLE = {
                ELSE {_count_sql('CARD')} END > 0) FROM messages_v WHERE {_KIND} IN (1, 5, 7)""",
         "messages_v", "statements_v"),
 }
+
+_OBSERVED = {
+    "category_macro_f1": ("macro_f1", LEARNING["l11_classification_metrics"]),
+    "urgent_recall": ("urgent_recall", LEARNING["l14_urgent_recall"]),
+    "agent_routing_accuracy": ("routing_accuracy", _ROUTE_SCORE),
+    "answer_grounding": ("answer_contains_rate", _GROUND),
+    "security_pass_rate": (
+        "x", f"SELECT round_even(AVG(ok::INT), 3) AS x FROM ({TEXT_ORACLE['t11_sql_verdict']})"),
+}
+ORACLE["e7_quality_gates"] = " UNION ALL ".join(
+    f"SELECT '{metric}' AS metric, o.v AS observed, {minimum}::DOUBLE AS minimum, "
+    f"COALESCE(o.v >= {minimum}, false) AS passed FROM (SELECT "
+    + (f"{_OBSERVED[metric][0]} AS v FROM ({_OBSERVED[metric][1]})" if metric in _OBSERVED
+       else "NULL::DOUBLE AS v")
+    + ") o"
+    for metric, minimum in QUALITY_GATES.items()
+)
