@@ -52,7 +52,7 @@ def test_folds_are_balanced_and_equal_a_global_numbering(spark):
 def test_running_share(spark):
     values = random.Random(3).sample(range(10000), 500)
     hist = spark.createDataFrame([(float(v), v % 5 + 1) for v in values], "x double, w int")
-    got = {r["x"]: r["b"] for r in scale.running_share(hist, "x", "w", "b", 8).collect()}
+    got = {r["x"]: r["b"] for r in scale.running_share(hist, "x", "w", "b", 60).collect()}
     total = 0
     for v in sorted(values):
         assert got[float(v)] == total

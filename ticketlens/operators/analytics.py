@@ -119,27 +119,27 @@ def top_contacting_customers(tickets: DataFrame, safe_customers: DataFrame) -> D
 
 NAMED: dict[str, tuple[str, Callable[[dict[str, DataFrame]], DataFrame]]] = {
     "tickets_by_category": (
-        "Volume, share and resolution KPIs per ticket category",
+        "How many tickets each category has, with resolution time and satisfaction",
         lambda t: tickets_by_category(t["tickets"]),
     ),
     "sla_breaches_by_priority": (
-        "SLA breach rate per priority (targets: urgent 8h, high 24h, medium 48h, low 120h)",
+        "How often each priority misses its resolution target",
         lambda t: sla_breaches_by_priority(t["tickets"]),
     ),
     "carrier_delay_ranking": (
-        "Late-delivery rate per carrier, ranked",
+        "Carriers by their share of late deliveries",
         lambda t: carrier_delay_ranking(t["orders"]),
     ),
     "monthly_volume": (
-        "Monthly ticket volume with month-over-month growth",
+        "Tickets per month and the change to the month before",
         lambda t: monthly_volume(t["tickets"]),
     ),
     "csat_by_channel": (
-        "Customer satisfaction and volume per support channel",
+        "Satisfaction and rated tickets of each channel",
         lambda t: csat_by_channel(t["tickets"]),
     ),
     "top_contacting_customers": (
-        "Customers with the most tickets, without personal data",
+        "Who writes most often, without personal data",
         lambda t: top_contacting_customers(t["tickets"], t["v_customer_safe"]),
     ),
 }

@@ -68,7 +68,7 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     )
     pairs = materialise(pairs, "rank-pairs")
     for c in ("x", "y"):
-        hist = pairs.groupBy(c).agg(F.sum("n").alias("w"))
+        hist = materialise(pairs.groupBy(c).agg(F.sum("n").alias("w")), "rank-histogram")
         ranks = running_share(hist, c, "w", "before").select(
             c, (F.col("before") + (F.col("w") + 1) / 2).alias(f"rank_{c}")
         )

@@ -80,12 +80,17 @@ def number_by_digest(df: DataFrame, keys: Sequence[str], digest: str, out: str)
     )
 
 
-def running_share(hist: DataFrame, value: str, weight: str, out: str, parts: int = 64) -> DataFrame:
+def running_share(
+    hist: DataFrame, value: str, weight: str, out: str, rows_per_part: int = 100_000
+) -> DataFrame:
     """Adds to a histogram (one row per distinct ``value``) the total ``weight`` of all smaller
-    values. Values are cut into ranges at approximate quantiles; a range needs only the sums of
-    the ranges before it, so no task sorts the whole histogram."""
-    probabilities = [i / parts for i in range(1, parts)]
-    cuts = sorted(set(hist.approxQuantile(value, probabilities, 0.25 / parts)))
+    values. A large histogram is cut into ranges at approximate quantiles; a range needs only the
+    sums of the ranges before it, so no task sorts the whole histogram."""
+    parts = 1 + hist.count() // rows_per_part
+    cuts = []
+    if parts > 1:
+        probabilities = [i / parts for i in range(1, parts)]
+        cuts = sorted(set(hist.approxQuantile(value, probabilities, 0.25 / parts)))
     part = F.lit(0)
     if cuts:
         edges = F.array(*[F.lit(c) for c in cuts])
