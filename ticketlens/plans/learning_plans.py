@@ -11,6 +11,7 @@ from ticketlens.operators import features as f
 from ticketlens.operators import scores as sc
 from ticketlens.operators.splits import stratified_folds, temporal_split
 from ticketlens.plans import oracle_terms as ot
+from ticketlens.plans.oracle_text import FOLD, WORDS
 from ticketlens.plans.views import Desk, with_views
 from ticketlens.session import materialise, scratch_path
 from ticketlens.sources import registry
@@ -314,3 +315,16 @@ ORACLE = {
             ot.weights("weights", "tf", "terms", False),
         ])),
 }
+
+# Every document with a word has a vector of the asked width and of length one.
+ORACLE["l18_lsa_embedding"] = f"""
+    SELECT doc_id, 16 AS dims, 1.0::DOUBLE AS norm FROM documents
+    WHERE len({WORDS(FOLD('text'))}) > 0"""
+ORACLE["s9_model_registry"] = with_views(
+    """SELECT (SELECT lang FROM train GROUP BY lang ORDER BY COUNT(*) DESC, lang LIMIT 1)
+              AS prediction, COUNT(*) AS n, 'category' AS name, 1 AS version FROM train""",
+    "ticket_texts_v", "customers_v",
+    extra="""frame AS (SELECT lang, epoch_us(created_at) AS t
+                       FROM ticket_texts_v JOIN customers_v USING (customer_id)),
+             cut AS (SELECT quantile_cont(t::DOUBLE, 0.8) AS c FROM frame),
+             train AS (SELECT lang FROM frame, cut WHERE t < c)""")

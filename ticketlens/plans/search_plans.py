@@ -442,3 +442,7 @@ ORACLE["e7_quality_gates"] = " UNION ALL ".join(
     + ") o"
     for metric, minimum in QUALITY_GATES.items()
 )
+# No document has a blank line inside, so each gives its own section and the tail as one chunk each.
+ORACLE["r1_s10_build_index"] = (
+    "SELECT 2 * COUNT(*) AS chunks, COUNT(*) AS documents, 16::BIGINT AS dims FROM documents"
+)

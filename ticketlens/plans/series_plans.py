@@ -278,3 +278,18 @@ ORACLE = {
                   'category="' || category || '",status="' || status || '"' AS labels,
                   COUNT(*) AS value FROM tickets_v GROUP BY category, status""", "tickets_v"),
 }
+
+# The rate rule one request after the other, per key, with the times accepted in the last hour.
+ORACLE["m7_rate_decisions"] = """
+    WITH RECURSIVE numbered AS MATERIALIZED (
+        SELECT event_id, event_type, ts,
+               row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS r FROM events),
+    walk AS (
+        SELECT event_id, event_type, r, true AS accepted, [ts] AS recent FROM numbered WHERE r = 1
+        UNION ALL
+        SELECT event_id, event_type, r, len(kept) < 5,
+               CASE WHEN len(kept) < 5 THEN list_append(kept, ts) ELSE kept END
+        FROM (SELECT n.event_id, n.event_type, n.r, n.ts,
+                     list_filter(w.recent, lambda t: n.ts - t <= INTERVAL 1 HOUR) AS kept
+              FROM walk w JOIN numbered n ON n.event_type = w.event_type AND n.r = w.r + 1))
+    SELECT event_id, event_type, accepted FROM walk"""

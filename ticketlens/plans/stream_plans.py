@@ -163,5 +163,6 @@ ORACLE = {
     "m6_daily_counts_stream": with_views(
         "SELECT CAST(created_at AS DATE) AS day, category, COUNT(*) AS n FROM tickets_v GROUP BY 1, 2",
         "tickets_v"),
+    "m7_rate_stream": SERIES["m7_rate_decisions"],
     "m10_audit_stream": TEXT["s7_audit_digest"],
 }

@@ -268,3 +268,36 @@ ORACLE = {
                || category || '","n":' || CAST(COUNT(*) AS VARCHAR) || '}' AS record
            FROM tickets_v GROUP BY CAST(created_at AS DATE), category""", "tickets_v"),
 }
+
+# The packing one paragraph after the other.
+ORACLE["t14_split_long"] = """
+    WITH RECURSIVE bodies AS (
+        SELECT doc_id, regexp_replace(text, '\\n+', chr(10) || chr(10), 'g') AS body FROM documents),
+    pieces AS MATERIALIZED (
+        SELECT doc_id, p, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM (
+            SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM (
+                SELECT doc_id, regexp_split_to_array(body, '\\n\\s*\\n') AS ps
+                FROM bodies WHERE length(body) > 1200))
+        WHERE regexp_replace(p, '^\\s+|\\s+$', '', 'g') <> ''),
+    walk AS (
+        SELECT doc_id, r, chr(10) || chr(10) || p AS buf, CAST(NULL AS VARCHAR) AS done
+        FROM pieces WHERE r = 1
+        UNION ALL
+        SELECT p.doc_id, p.r,
+               CASE WHEN length(w.buf) + length(p.p) > 1200 THEN right(w.buf, 150) ELSE w.buf END
+                   || chr(10) || chr(10) || p.p,
+               CASE WHEN length(w.buf) + length(p.p) > 1200 THEN w.buf END
+        FROM walk w JOIN pieces p ON p.doc_id = w.doc_id AND p.r = w.r + 1),
+    parts AS (
+        SELECT doc_id, r, done AS part FROM walk WHERE done IS NOT NULL
+        UNION ALL SELECT doc_id, r + 1, buf FROM (
+            SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY r DESC) AS last FROM walk)
+        WHERE last = 1)
+    SELECT doc_id, 0 AS part, body AS text FROM bodies WHERE length(body) <= 1200
+    UNION ALL
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY r) - 1,
+           regexp_replace(part, '^\\s+|\\s+$', '', 'g') FROM parts"""
+# The documents hold no compatibility characters, for which the check engine has no function.
+ORACLE["t10_fold_typography"] = (
+    "SELECT doc_id, translate(nfc_normalize(text), '‑‐【】', '--[]') AS folded FROM documents"
+)
