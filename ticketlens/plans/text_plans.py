@@ -154,11 +154,9 @@ def _wrapped_regex(regex: str) -> str:
     """The accented alternatives as they look between marks."""
     m = o.MARK
     for plain, accented in (("c", "ç"), ("o", "õ"), ("e", "é"), ("e", "ê")):
-        either = f"[{plain}{accented}]"
         for written in (f"[{plain}{accented}]", f"[{accented}{plain}]"):
             if written in regex:
                 regex = regex.replace(written, f"(?:{plain}|{m}{accented}{m})")
-        del either
     return regex
 
 
