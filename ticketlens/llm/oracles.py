@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ticketlens.llm import chat
+from ticketlens.llm import chat, licenses
 
 ORACLE: dict[str, str] = {}
 
@@ -61,3 +61,66 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
   doc_id IS NOT DISTINCT FROM max(doc_id) OVER g AS kept, sha256(text) AS text_sha256
 FROM d WINDOW g AS (PARTITION BY text)
 """
+
+_RULES = ", ".join(
+    f"('{r.label}', '{r.keyword}', '{licenses.pattern(r.spec)}', {r.priority}, {r.confidence})"
+    for r in licenses.signature_rules())
+_BASE = ", ".join(f"('{label}', '{licenses.pattern(spec)}')" for label, spec in licenses.BASE)
+
+
+def _words(text: str) -> str:
+    return f"((len({text}) - len(replace({text}, ' ', ''))) // 2)"
+
+
+def _starts(pat: str) -> str:
+    """Word positions of all matches of a pattern in norm, from 0."""
+    return f"""list_transform(generate_series(1, len(regexp_extract_all(norm, {pat}))), lambda k:
+      list_sum(list_transform(string_split_regex(norm, {pat})[1:k], lambda x: {_words('x')})) +
+      coalesce(list_sum(list_transform(regexp_extract_all(norm, {pat})[1:k - 1],
+        lambda x: {_words('x')})), 0))"""
+
+
+ORACLE["op7_license_scan"] = f"""
+WITH gaps AS (
+  SELECT doc_id, row_number() OVER () AS row_id, trim(regexp_replace(translate(
+    coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '{licenses.WORD_GAP}', '  ', 'g')) AS inner_text
+  FROM documents
+), d AS (
+  SELECT doc_id, row_id,
+    CASE WHEN inner_text = '' THEN '' ELSE ' ' || inner_text || ' ' END AS norm FROM gaps
+), base_rules(label, pat) AS (VALUES {_BASE}),
+base_hits AS (
+  SELECT row_id, label, unnest({_starts('pat')}) AS start FROM d JOIN base_rules
+    ON contains(norm, pat)
+), base AS (
+  SELECT row_id, count(*) AS n_base, CAST(min(start) AS BIGINT) AS first_word,
+    CAST(max(start) AS BIGINT) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels,
+    list(DISTINCT label) AS base_list
+  FROM base_hits GROUP BY row_id
+), rules(label, keyword, pat, priority, confidence) AS (VALUES {_RULES}),
+matched AS (
+  SELECT row_id, label, priority, confidence, norm, pat FROM d JOIN rules
+    ON contains(norm, keyword) AND regexp_matches(norm, pat)
+), hits AS (
+  SELECT row_id, label, priority, confidence, unnest({_starts('pat')}) AS start,
+    unnest(list_transform(regexp_extract_all(norm, pat), lambda x: {_words('x')})) AS width
+  FROM matched
+), alive AS (
+  SELECT * FROM hits h WHERE NOT EXISTS (
+    SELECT 1 FROM hits o WHERE o.row_id = h.row_id AND o.start <= h.start
+      AND o.start + o.width >= h.start + h.width AND (o.priority > h.priority
+      OR o.priority = h.priority AND (o.width > h.width
+        OR (o.label, o.confidence) < (h.label, h.confidence))))
+), found AS (
+  SELECT row_id, list(DISTINCT label) AS list, CAST(max(confidence) AS DOUBLE) AS score
+  FROM alive GROUP BY row_id
+)
+SELECT doc_id, CAST({_words('norm')} AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base,
+  first_word, last_word, coalesce(base_labels, '') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(base_list, []),
+    coalesce(found.list, [])))), ',') AS labels,
+  coalesce(score, 0.0::DOUBLE) AS score
+FROM d LEFT JOIN base USING (row_id) LEFT JOIN found USING (row_id)
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlens.llm import chat, exactdup
+from ticketlens.llm import chat, exactdup, licenses
 from ticketlens.llm.oracles import ORACLE
 from ticketlens.session import use_utc
 
@@ -30,4 +30,9 @@ def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exactdup.exact_duplicates(_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op6_exact_dedup)}
+def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    return licenses.license_summary(licenses.scan_licenses(docs))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op6_exact_dedup, op7_license_scan)}
