@@ -33,7 +33,8 @@ NAMES = {
     "apache-1.1": ("apache", ["apache software? version? 1 1"]),
     "apache-2.0": ("apache", ["apache software? version? 2 0", "apache software? v2 0?"]),
     "bsd": ("bsd", ["bsd", "bsd style"]),
-    "bsd-2-clause": ("bsd", ["bsd 2 clause", "simplified bsd", "freebsd"]),
+    "bsd-2-clause": ("bsd", ["bsd 2 clause", "simplified bsd"]),
+    "freebsd": ("freebsd", ["freebsd"]),
     "bsd-3-clause": ("bsd", ["bsd 3 clause", "new bsd", "modified bsd"]),
     "bsd-4-clause": ("bsd", ["bsd 4 clause", "original bsd"]),
     "isc": ("isc", ["isc", "internet systems consortium isc?"]),
@@ -159,8 +160,7 @@ def pattern(spec: str) -> str:
 def spaced_words(text: Column) -> Column:
     """`` w1  w2  w3 ``: A-Z lower-cased words, each with a space on either side; else empty."""
     gaps = F.regexp_replace(lower_ascii(F.coalesce(text, F.lit(""))), WORD_GAP, "  ")
-    inner = F.trim(gaps)
-    return F.when(inner == "", "").otherwise(F.concat(F.lit(" "), inner, F.lit(" ")))
+    return F.regexp_replace(F.trim(gaps), "^(.+)$", " $1 ")
 
 
 def _hits(norm: Column, rule_pattern: Column) -> Column:
@@ -184,7 +184,7 @@ def _all_hits(norm: Column, rules: list[Rule]) -> Column:
         by_keyword.setdefault(rule.keyword, []).append(rule)
     table = F.array(*[
         F.struct(
-            F.lit(keyword).alias("keyword"),
+            F.lit(f" {keyword} ").alias("keyword"),
             F.array(*[F.struct(
                 F.lit(r.label).alias("label"), F.lit(pattern(r.spec)).alias("pattern"),
                 F.lit(r.priority).alias("priority"), F.lit(r.confidence).alias("confidence"),
@@ -249,14 +249,15 @@ def scan_licenses(docs: DataFrame, text: str = "text",
 
     base = F.concat(*[base_hits(label, spec) for label, spec in BASE])
     words = F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), ANY_CASE_GAP, " "))
-    spaces = F.octet_length(words) - F.octet_length(F.replace(words, F.lit(" "), F.lit("")))
-    count = F.when(words == "", 0).otherwise(spaces + 1).cast("long")
+    spaces = F.octet_length("_words") - F.octet_length(F.replace("_words", F.lit(" "), F.lit("")))
+    count = (F.col("_words") != "").cast("long") + spaces
     out = free_name(docs, "license")
     rest = [F.col(f"_row.{c}").alias(c) for c in docs.columns]
-    read = docs.select(F.struct(*docs.columns).alias("_row"), count.alias("_n"),
-                       F.coalesce(stems, F.lit(False)).alias("_gate"), F.col(text).alias("_text"))
-    read = read.select("_row", "_n", "_gate",
-                       F.when(gate, spaced_words(F.col("_text"))).otherwise("").alias("_norm"))
+    read = docs.select(
+        F.struct(*docs.columns).alias("_row"), words.alias("_words"),
+        F.coalesce(stems, F.lit(False)).alias("_gate"), F.col(text).alias("_text"))
+    read = read.select("_row", count.alias("_n"), "_gate", F.when(gate, F.col("_text")).alias("_text"))
+    read = read.select("_row", "_n", "_gate", spaced_words(F.col("_text")).alias("_norm"))
     scanned = read.select(
         "_row",
         F.col("_n").alias("n_words"),

@@ -102,7 +102,7 @@ base_hits AS (
 ), rules(label, keyword, pat, priority, confidence) AS (VALUES {_RULES}),
 matched AS (
   SELECT row_id, label, priority, confidence, norm, pat FROM d JOIN rules
-    ON contains(norm, keyword) AND regexp_matches(norm, pat)
+    ON contains(norm, ' ' || keyword || ' ') AND regexp_matches(norm, pat)
 ), hits AS (
   SELECT row_id, label, priority, confidence, unnest({_starts('pat')}) AS start,
     unnest(list_transform(regexp_extract_all(norm, pat), lambda x: {_words('x')})) AS width
