@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ticketlens.llm import chat, licenses
+from ticketlens.llm import chat, licenses, url_rules
 
 ORACLE: dict[str, str] = {}
 
@@ -124,3 +124,36 @@ SELECT doc_id, CAST({_words('norm')} AS BIGINT) AS n_words, coalesce(n_base, 0)
   coalesce(score, 0.0::DOUBLE) AS score
 FROM d LEFT JOIN base USING (row_id) LEFT JOIN found USING (row_id)
 """
+
+
+def _pattern_case() -> str:
+    """The method's verdict: all patterns, the longest first."""
+    rules = sorted(url_rules.METHOD_RULES, key=lambda r: -len(r.spec))
+    return "CASE " + " ".join(
+        f"WHEN regexp_matches(low, '{r.regex()}') THEN '{r.verdict}'" for r in rules
+    ) + " ELSE 'allow' END"
+
+
+ORACLE["op4_url_filter"] = f"""
+WITH cut AS (
+  SELECT page_id, lower(coalesce(url, '')) AS low,
+    CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+  FROM pages
+), u AS (
+  SELECT page_id, low, translate(regexp_extract(rest, '^[^/?#]*'),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut
+), r AS (
+  SELECT *, CASE
+    WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%'
+      THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%'
+      THEN 'example.com/de/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule FROM u
+)
+SELECT page_id, host, path, rule, CASE
+  WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+  ELSE {_pattern_case()} END AS verdict
+FROM r
+"""
