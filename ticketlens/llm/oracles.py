@@ -157,3 +157,31 @@ SELECT page_id, host, path, rule, CASE
   ELSE {_pattern_case()} END AS verdict
 FROM r
 """
+
+_ITEM_WORDS = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+ORACLE["op9_decontaminate"] = f"""
+WITH items AS (SELECT item_id, {_ITEM_WORDS} AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS m, array_to_string(w[i:i + 9], ' ') AS gram
+  FROM (SELECT *, unnest(generate_series(1, greatest(1, len(w) - 9))) AS i FROM items
+    WHERE len(w) > 0)
+), sizes AS (SELECT DISTINCT m FROM windows),
+d AS (SELECT doc_id, row_number() OVER () AS row_id, {_ITEM_WORDS} AS w FROM documents),
+grams AS (
+  SELECT row_id, m, i, array_to_string(w[i:i + m - 1], ' ') AS gram
+  FROM (SELECT row_id, w, m, unnest(generate_series(1, len(w) - m + 1)) AS i FROM d, sizes)
+), hits AS (
+  SELECT row_id, item_id, i, m FROM grams JOIN windows USING (m, gram)
+), places AS (
+  SELECT row_id, count(*) AS n_hit FROM (
+    SELECT DISTINCT row_id, unnest(generate_series(i, i + m - 1)) AS p FROM hits) GROUP BY row_id
+), found AS (
+  SELECT row_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT row_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY row_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+  coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN places USING (row_id) LEFT JOIN found USING (row_id)
+"""

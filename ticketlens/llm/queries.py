@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlens.llm import chat, exactdup, licenses, pii, url_rules
+from ticketlens.llm import chat, decontaminate, exactdup, licenses, pii, url_rules
 from ticketlens.llm.oracles import ORACLE
 from ticketlens.session import use_utc
 
@@ -44,4 +44,10 @@ def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.pii_summary(pii.find_pii(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op4_url_filter, op6_exact_dedup, op7_license_scan, op10_pii)}
+def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    marked = decontaminate.find_contamination(docs, _table(spark, folder, "benchmark"))
+    return decontaminate.contamination_summary(marked)
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op4_url_filter, op6_exact_dedup, op7_license_scan, op9_decontaminate, op10_pii)}
