@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlens.llm import chat, decontaminate, exactdup, licenses, pii, url_rules
+from ticketlens.llm import chat, decontaminate, exactdup, licenses, packing, pii, url_rules
 from ticketlens.llm.oracles import ORACLE
 from ticketlens.session import use_utc
 
@@ -50,4 +51,10 @@ def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination_summary(marked)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op4_url_filter, op6_exact_dedup, op7_license_scan, op9_decontaminate, op10_pii)}
+def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"),
+                                  public_tokenizers.path("byte_bpe_50k.tiktoken"), digest=True)
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op4_url_filter, op5_best_fit_packing, op6_exact_dedup, op7_license_scan, op9_decontaminate, op10_pii)}
