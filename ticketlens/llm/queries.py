@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlens.llm import chat, decontaminate, exactdup, licenses, packing, pii, url_rules
+from ticketlens.llm import chat, decontaminate, exactdup, langid, licenses, packing, pii, url_rules
 from ticketlens.llm.oracles import ORACLE
 from ticketlens.session import use_utc
 
@@ -57,4 +57,12 @@ def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
                                   public_tokenizers.path("byte_bpe_50k.tiktoken"), digest=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op4_url_filter, op5_best_fit_packing, op6_exact_dedup, op7_license_scan, op9_decontaminate, op10_pii)}
+def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text", "lang")
+    model = langid.fit_language_model(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    named = langid.identify(docs.select("doc_id", "text"), model)
+    return named.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"),
+                        "language.lang_pred", "language.score")
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op4_url_filter, op5_best_fit_packing, op6_exact_dedup, op7_license_scan, op8_language_id, op9_decontaminate, op10_pii)}
