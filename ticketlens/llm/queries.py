@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlens.llm import chat, decontaminate, exactdup, langid, licenses, packing, pii, url_rules
+from ticketlens.llm import chat, decontaminate, exactdup, html_text, langid, licenses, packing, pii, url_rules
 from ticketlens.llm.oracles import ORACLE
 from ticketlens.session import use_utc
 
@@ -65,4 +65,11 @@ def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
                         "language.lang_pred", "language.score")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op4_url_filter, op5_best_fit_packing, op6_exact_dedup, op7_license_scan, op8_language_id, op9_decontaminate, op10_pii)}
+def op3_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    pages = _table(spark, folder, "pages")
+    read = html_text.extract_text(pages, html_text.fit_labeller(pages))
+    return read.select("page_id", "url", F.col("main_text").alias("text"),
+                       F.length("main_text").cast("long").alias("n_chars"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op3_html_text, op4_url_filter, op5_best_fit_packing, op6_exact_dedup, op7_license_scan, op8_language_id, op9_decontaminate, op10_pii)}
