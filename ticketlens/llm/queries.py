@@ -6,12 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlens.llm import chat, decontaminate, exactdup, html_text, langid, licenses, packing, pii, url_rules
-from ticketlens.llm.oracles import ORACLE
+from ticketlens.llm import chat, decontaminate, exactdup, html_text, langid, licenses, neardup, packing, pii, url_rules
 from ticketlens.session import use_utc
 
-__all__ = ["ORACLE", "QUERIES"]
-
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     use_utc(spark)
@@ -72,4 +69,8 @@ def op3_html_text(spark: SparkSession, folder: str) -> DataFrame:
                        F.length("main_text").cast("long").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op3_html_text, op4_url_filter, op5_best_fit_packing, op6_exact_dedup, op7_license_scan, op8_language_id, op9_decontaminate, op10_pii)}
+def op2_minhash_neardup(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, folder, "documents"), width=4)
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_minhash_neardup, op3_html_text, op4_url_filter, op5_best_fit_packing, op6_exact_dedup, op7_license_scan, op8_language_id, op9_decontaminate, op10_pii)}

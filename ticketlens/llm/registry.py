@@ -1,7 +1,11 @@
-"""Queries and SQL counterparts of this folder."""
+"""Queries and SQL counterparts of this folder and of the pipeline built on it."""
 
 from __future__ import annotations
 
-from ticketlens.llm.queries import ORACLE, QUERIES
+import corpus_pipeline
+from ticketlens.llm.oracles import ORACLE as OPERATOR_SQL
+from ticketlens.llm.queries import QUERIES as OPERATORS
 
-__all__ = ["ORACLE", "QUERIES"]
+QUERIES = {**OPERATORS, "pipeline": corpus_pipeline.run}
+ORACLE = {**OPERATOR_SQL, **(
+    {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})}
