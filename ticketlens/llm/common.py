@@ -18,3 +18,10 @@ def free_name(df: DataFrame, name: str) -> str:
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case; every other character stays."""
     return F.translate(text, UPPER, LOWER)
+
+
+def bounded_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """``df``, after limiting what is sent to a Python worker at once, for the session: texts are
+    long, and a task's memory holds a batch several times."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return df

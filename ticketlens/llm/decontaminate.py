@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ticketlens.llm.common import free_name
+from ticketlens.llm.common import bounded_batches, free_name
 
 WINDOW = 10
 #: characters of benchmark text sent to the tasks at once
@@ -248,7 +248,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     repeated items and rows change nothing. An empty benchmark marks nothing. If ``docs`` has a
     column ``contamination``, the new one is ``contamination_``.
     """
-    context = docs.sparkSession.sparkContext
+    context = bounded_batches(docs).sparkSession.sparkContext
     out = free_name(docs, "contamination")
     marked, names = docs, []
     for items in _blocks(benchmark, item_key, item_text, block_chars):

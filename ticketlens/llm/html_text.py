@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticketlens.llm.common import free_name
+from ticketlens.llm.common import bounded_batches, free_name
 
 #: bounds of the fit: pages, and characters of a page that may be one of them
 FIT_PAGES = 120
@@ -155,7 +155,7 @@ class _WordPlaces(dict):
 
     def __missing__(self, word: str) -> int:
         place = zlib.crc32(word.encode("utf-8", "surrogatepass")) % WORD_DIMS
-        if len(self) < 300_000:
+        if len(self) < 200_000:
             self[word] = place
         return place
 
@@ -408,4 +408,4 @@ def extract_text(pages: DataFrame, model: Labeller, html_column: str = "html") -
             yield pd.Series(texts, dtype=object)
 
     udf = F.pandas_udf(label, "string")
-    return pages.withColumn(free_name(pages, "main_text"), udf(F.col(html_column)))
+    return bounded_batches(pages).withColumn(free_name(pages, "main_text"), udf(F.col(html_column)))

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ticketlens.llm.common import free_name
+from ticketlens.llm.common import bounded_batches, free_name
 from ticketlens.operators.scale import top_k_per_group
 
 #: bounds of the fit: labelled rows per language, and bytes of a text that may be one of them
@@ -32,7 +32,7 @@ LEAST_COUNT = 0.5
 #: probability of a character that is in no piece, the same in every language
 UNKNOWN = 1e-6
 #: distinct words that a task keeps
-CACHED_WORDS = 400_000
+CACHED_WORDS = 300_000
 #: characters of a run scored in one pass; longer runs are cut, so their work stays linear
 RUN = 48
 UNDETERMINED = "und"
@@ -293,8 +293,8 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
         words = _WordScores(model)
         for texts in batches:
             names, scores = [], []
-            for at in range(0, len(texts), 2000):
-                some = list(texts.iloc[at:at + 2000])
+            for at in range(0, len(texts), 1000):
+                some = list(texts.iloc[at:at + 1000])
                 rows = [list(map(words.__getitem__, words_of(t))) if t else [] for t in some]
                 if model.languages:
                     words.score_new()
@@ -312,7 +312,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
             yield pd.DataFrame({"lang_pred": names, "score": scores})
 
     udf = F.pandas_udf(score, "lang_pred string, score double")
-    return docs.withColumn(free_name(docs, "language"), udf(F.col(text)))
+    return bounded_batches(docs).withColumn(free_name(docs, "language"), udf(F.col(text)))
 
 
 def _has_letter(text: str) -> bool:

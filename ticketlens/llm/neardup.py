@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ticketlens.llm.common import free_name
+from ticketlens.llm.common import bounded_batches, free_name
 from ticketlens.session import materialise
 
 K = 64
@@ -38,7 +38,7 @@ PERCENT = 80
 MARGIN = 30
 #: members of one block of a list
 BLOCK = 128
-CACHED_WORDS = 300_000
+CACHED_WORDS = 100_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MIX_A, _MIX_B = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S33, _S29 = np.uint64(33), np.uint64(29)
@@ -247,7 +247,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     member has another. Repeated rows agree in every column. Other columns are not read. An empty
     table gives no rows.
     """
-    rows = materialise(sketch(docs, key, text, width, k), "sketches")
+    rows = materialise(sketch(bounded_batches(docs), key, text, width, k), "sketches")
     found = rows.filter("n > 0")
     classes = materialise(found.groupBy("digest").agg(
         F.min("key").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")

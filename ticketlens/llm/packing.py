@@ -24,13 +24,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ticketlens.llm.common import bounded_batches
 from ticketlens.session import materialise
 
 CAPACITY = 2048
 END_ID = 0
 SALTS = 64
 #: words whose ids one task keeps
-CACHED_WORDS = 400_000
+CACHED_WORDS = 250_000
 SPECIAL = "<|endoftext|>"
 #: a space inside or at the end of a longer stretch of white space: such texts are encoded whole
 _ODD_SPACE = re.compile(r"\s (?:\s|\Z)")
@@ -118,7 +119,7 @@ def tokenise(docs: DataFrame, tokenizer: str, ranks: str | None = None, key: str
 
     last = "ids_crc32" if digest else "ids"
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(
+    return bounded_batches(docs).select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(
         pieces, f"`{key}` {kind}, piece int, start long, length long, "
         f"{last} {'long' if digest else 'binary'}")
 

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticketlens.llm.common import free_name
+from ticketlens.llm.common import bounded_batches, free_name
 
 # fixed values: kinds in their order, and their patterns
 KINDS = ("email", "ip", "card", "phone")
@@ -275,7 +275,7 @@ def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
             yield pd.DataFrame(rows, columns=["base", "added"])
 
     found = F.pandas_udf(scan, f"base {SPANS}, added {SPANS}")
-    return docs.withColumn(free_name(docs, "pii"), found(F.col(text)))
+    return bounded_batches(docs).withColumn(free_name(docs, "pii"), found(F.col(text)))
 
 
 def pii_summary(found: DataFrame, key: str = "doc_id", column: str = "pii") -> DataFrame:
