@@ -5,17 +5,17 @@
 2. Inverted lists of retained values. Two sets with the wanted similarity share at least ``c`` of
    their retained values, so a list only needs a value where it is among the ``m - c + 1`` rarest of
    a sketch of ``m`` values. Values that one class alone has fill most of these places, so a unique
-   document leaves no entry, and passages that many documents share leave entries only where they
-   dominate a document.
-3. First round: every list offers its members to its smallest member, which is linear in the list and
-   joins groups of copies. Second round: lists that still hold several components offer all pairs
-   across components, block by block; nothing is capped.
+   document leaves no entry. The classes with entries get their full sets, and the same lists over
+   full sets (``c`` is then exact) leave out documents that only share a passage with others.
+3. Star rounds: every list offers its members to a few central members, which is linear in the list
+   and joins groups of copies. What lists still hold of different components is offered pair by pair
+   at the end, block by block; nothing is capped.
 4. The union of two sketches estimates their similarity; pairs far below are dropped.
 5. The rest is decided on full sets, and links are closed to components by alternating star steps.
 
-``c`` is exact for sets whose sketches are complete. Otherwise it is k / 2, which two sets of
-similarity 0.8 miss with a probability below 1e-7 for k = 64 (binomial tail, and each pair is
-independent of the corpus size).
+On sketches, ``c`` is exact for sets whose sketches are complete. Otherwise it is k / 2, which two
+sets of similarity 0.8 miss with a probability below 1e-7 for k = 64 (binomial tail; it does not
+depend on the size of the corpus).
 """
 
 from __future__ import annotations
@@ -38,6 +38,9 @@ PERCENT = 80
 MARGIN = 30
 #: members of one block of a list
 BLOCK = 128
+#: heads that a star round draws from every list, and the most rounds before all pairs are offered
+HEADS = 3
+STAR_ROUNDS = 5
 CACHED_WORDS = 100_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MIX_A, _MIX_B = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -110,39 +113,59 @@ def _least_overlap(n: Column, k: int, percent: int) -> Column:
     return F.when(n * 100 <= percent * k, whole).otherwise(F.lit(k // 2))
 
 
-def postings(classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """value, cid, n: the rarest retained values of every class that can matter."""
-    m = F.size("sketch")
-    values = classes.select("cid", "n", m.alias("m"), F.explode("sketch").alias("value"))
-    shared = classes.select(F.explode("sketch").alias("value")).groupBy("value").agg(
+def postings(sets: DataFrame, values: str, k: int, percent: int) -> DataFrame:
+    """value, cid, n, shared: the rarest values of every class that can matter, and which tenth of
+    its values other classes have too."""
+    m = F.size(values)
+    long = sets.select("cid", "n", m.alias("m"), F.explode(values).alias("value"))
+    counted = sets.select(F.explode(values).alias("value")).groupBy("value").agg(
         F.count("*").alias("df")).filter("df > 1")
-    common = values.join(shared, "value").groupBy("cid", "n", "m").agg(
+    common = long.join(counted, "value").groupBy("cid", "n", "m").agg(
         F.sort_array(F.collect_list(F.struct("df", "value"))).alias("common"))
     places = F.col("m") - _least_overlap(F.col("n"), k, percent) + 1
-    take = (places - (F.col("m") - F.size("common"))).cast("int")
-    kept = common.select("cid", "n", F.slice("common", 1, F.greatest(take, F.lit(0))).alias("c"))
-    return kept.select("cid", "n", F.explode("c.value").alias("value"))
+    take = F.greatest(places - (F.col("m") - F.size("common")), F.lit(0)).cast("int")
+    tenth = F.floor(F.size("common") * 10 / F.col("m")).cast("int")
+    kept = common.select("cid", "n", tenth.alias("shared"), F.slice("common", 1, take).alias("c"))
+    return kept.select("cid", "n", "shared", F.explode("c.value").alias("value"))
 
 
 def _like_sizes(a: Column, b: Column, percent: int) -> Column:
     return (a * 100 >= b * percent) & (b * 100 >= a * percent)
 
 
-def _star_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """Every member of a list with the list's smallest member."""
-    heads = entries.groupBy("value").agg(F.min(F.struct("cid", "n")).alias("head"))
-    pairs = entries.join(heads, "value").filter(
-        (F.col("cid") != F.col("head.cid")) & _like_sizes(F.col("n"), F.col("head.n"), percent))
-    return pairs.select(F.col("head.cid").alias("a"), F.col("cid").alias("b")).distinct()
+def _with_components(entries: DataFrame, components: DataFrame | None) -> DataFrame:
+    if components is None:
+        return entries.withColumn("comp", F.col("cid"))
+    return entries.join(components, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
 
 
-def _cross_pairs(entries: DataFrame, components: DataFrame, percent: int) -> DataFrame:
+def _star_pairs(named: DataFrame, percent: int, seed: int) -> DataFrame:
+    """Every member of a list with the list's heads, unless they are one component already. Heads
+    are members that share most with others, drawn by hash."""
+    member = F.struct("cid", "n", "comp")
+    heads = named.groupBy("value").agg(*[
+        F.min(F.struct(-F.col("shared"), F.xxhash64("cid", F.lit(seed * HEADS + r)).alias("draw"),
+                       member.alias("member"))).alias(f"h{r}") for r in range(HEADS)])
+    heads = materialise(heads.select("value", F.array_distinct(
+        F.array(*[F.col(f"h{r}.member") for r in range(HEADS)])).alias("heads")), "heads")
+    met = named.join(heads, "value").select("cid", "n", "comp", F.explode("heads").alias("head"))
+    fits = (F.col("comp") != F.col("head.comp")) & _like_sizes(F.col("n"), F.col("head.n"), percent)
+    return met.filter(fits).select(F.least("cid", "head.cid").alias("a"),
+                                   F.greatest("cid", "head.cid").alias("b")).distinct()
+
+
+def _open_pairs(named: DataFrame) -> int:
+    """How many pairs of different components the lists hold."""
+    sizes = named.groupBy("value", "comp").agg(F.count("*").alias("c"))
+    lists = sizes.groupBy("value").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
+    return lists.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0
+
+
+def _cross_pairs(named: DataFrame, percent: int) -> DataFrame:
     """All pairs of a list's members in different components."""
-    named = entries.join(components, "cid", "left").withColumn(
-        "comp", F.coalesce("comp", "cid"))
-    mixed = named.groupBy("value").agg(
+    mixed = materialise(named.groupBy("value").agg(
         F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("many")
-    ).filter("low < high").select("value", "many")
+    ).filter("low < high").select("value", "many"), "mixed")
     block = F.pmod(F.xxhash64("cid"), F.ceil(F.col("many") / BLOCK))
     blocks = named.join(mixed, "value").groupBy("value", block.alias("block")).agg(
         F.collect_list(F.struct("cid", "n", "comp")).alias("members"))
@@ -177,7 +200,6 @@ def _similar(percent: int):
     def decide(x: pd.Series, y: pd.Series) -> pd.Series:
         out = []
         for a, b in zip(x, y, strict=True):
-            a, b = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)
             both = len(np.intersect1d(a, b, assume_unique=True))
             out.append(both * 100 >= percent * (len(a) + len(b) - both))
         return pd.Series(out)
@@ -193,7 +215,7 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, key: str, text: str, width: int, wanted: DataFrame) -> DataFrame:
-    """cid, set of the ``wanted`` classes (cid, rep, digest), read again from one document each."""
+    """cid, n, set of the ``wanted`` classes (cid, rep, digest), read again from one document each."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = _WordHashes()
@@ -201,16 +223,15 @@ def _full_sets(docs: DataFrame, key: str, text: str, width: int, wanted: DataFra
             rows = []
             for cid, digest, s in zip(batch["cid"], batch["digest"],
                                       _batched(batch["text"], width, words), strict=True):
-                raw = s.tobytes()
-                if hashlib.blake2b(raw, digest_size=16).digest() == bytes(digest):
-                    rows.append((cid, raw))
-            yield pd.DataFrame(rows, columns=["cid", "set"])
+                if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == bytes(digest):
+                    rows.append((cid, len(s), s))
+            yield pd.DataFrame(rows, columns=["cid", "n", "set"])
 
     as_text = F.coalesce(F.col(key).cast("string"), F.lit(""))
     found = docs.select(as_text.alias("k"), F.col(text).alias("text")).join(
         wanted.select(F.coalesce(F.col("rep").cast("string"), F.lit("")).alias("k"), "cid", "digest"),
         "k").select("cid", "digest", "text")
-    return found.mapInPandas(read, "cid long, set binary").dropDuplicates(["cid"])
+    return found.mapInPandas(read, "cid long, n long, set array<long>").dropDuplicates(["cid"])
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -252,18 +273,33 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     classes = materialise(found.groupBy("digest").agg(
         F.min("key").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")
     ).select(F.monotonically_increasing_id().alias("cid"), "*"), "classes")
-    entries = materialise(postings(classes, k, percent), "postings")
-    wanted = classes.select("cid", "rep", "digest").join(
-        entries.select("cid").distinct(), "cid", "left_semi")
+    near = postings(classes, "sketch", k, percent).select("cid").distinct()
+    wanted = classes.select("cid", "rep", "digest").join(near, "cid", "left_semi")
     sets = materialise(_full_sets(docs, key, text, width, wanted), "sets")
-    stars = materialise(_promising(_star_pairs(entries, percent), classes, k, percent), "stars")
-    first = materialise(_links(stars, sets, percent), "links")
-    components = connected(first)
-    across = _promising(_cross_pairs(entries, components, percent).join(
-        stars, ["a", "b"], "left_anti"), classes, k, percent)
-    second = materialise(_links(materialise(across, "across"), sets, percent), "links")
-    if second.limit(1).count():
-        components = connected(first.union(second))
+    everything = (classes.agg(F.max("n")).first()[0] or 0) * 100 + 100
+    entries = materialise(postings(sets, "set", everything, percent), "postings")
+    size = entries.count()
+
+    def linked_now(pairs: DataFrame) -> DataFrame:
+        good = materialise(_promising(pairs, classes, k, percent), "pairs")
+        return materialise(_links(good, sets, percent), "links")
+
+    links, components = None, None
+    for seed in range(STAR_ROUNDS):
+        named = materialise(_with_components(entries, components), "named")
+        if _open_pairs(named) <= size:
+            break
+        found_now = linked_now(_star_pairs(named, percent, seed))
+        if not found_now.limit(1).count():
+            break
+        links = found_now if links is None else links.unionByName(found_now)
+        components = materialise(connected(links), "components")
+    named = materialise(_with_components(entries, components), "named")
+    rest = linked_now(_cross_pairs(named, percent))
+    if rest.limit(1).count():
+        components = connected(rest if links is None else links.unionByName(rest))
+    if components is None:
+        components = classes.select("cid", F.col("cid").alias("comp")).limit(0)
     named = classes.select("cid", "digest", "rep").join(components, "cid", "left").select(
         "digest", "rep", F.coalesce("comp", "cid").alias("comp"))
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
