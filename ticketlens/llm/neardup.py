@@ -114,8 +114,8 @@ def _least_overlap(n: Column, k: int, percent: int) -> Column:
 
 
 def postings(sets: DataFrame, values: str, k: int, percent: int) -> DataFrame:
-    """value, cid, n, shared: the rarest values of every class that can matter, and which tenth of
-    its values other classes have too."""
+    """value, cid, n, shared: the rarest values of every class that can matter, and how many of its
+    values other classes have too."""
     m = F.size(values)
     long = sets.select("cid", "n", m.alias("m"), F.explode(values).alias("value"))
     counted = sets.select(F.explode(values).alias("value")).groupBy("value").agg(
@@ -124,13 +124,17 @@ def postings(sets: DataFrame, values: str, k: int, percent: int) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("df", "value"))).alias("common"))
     places = F.col("m") - _least_overlap(F.col("n"), k, percent) + 1
     take = F.greatest(places - (F.col("m") - F.size("common")), F.lit(0)).cast("int")
-    tenth = F.floor(F.size("common") * 10 / F.col("m")).cast("int")
-    kept = common.select("cid", "n", tenth.alias("shared"), F.slice("common", 1, take).alias("c"))
+    shared = F.size("common").cast("long")
+    kept = common.select("cid", "n", shared.alias("shared"), F.slice("common", 1, take).alias("c"))
     return kept.select("cid", "n", "shared", F.explode("c.value").alias("value"))
 
 
-def _like_sizes(a: Column, b: Column, percent: int) -> Column:
-    return (a * 100 >= b * percent) & (b * 100 >= a * percent)
+def _may_link(a: Column, b: Column, percent: int) -> Column:
+    """Whether two classes can be similar enough, by their sizes and by how many of their values any
+    other class has: no more than that can be common."""
+    most = F.least(a["shared"], b["shared"])
+    return (most * (100 + percent) >= (a["n"] + b["n"]) * percent) & (
+        a["n"] * 100 >= b["n"] * percent) & (b["n"] * 100 >= a["n"] * percent)
 
 
 def _with_components(entries: DataFrame, components: DataFrame | None) -> DataFrame:
@@ -142,16 +146,18 @@ def _with_components(entries: DataFrame, components: DataFrame | None) -> DataFr
 def _star_pairs(named: DataFrame, percent: int, seed: int) -> DataFrame:
     """Every member of a list with the list's heads, unless they are one component already. Heads
     are members that share most with others, drawn by hash."""
-    member = F.struct("cid", "n", "comp")
+    member = F.struct("cid", "n", "shared", "comp")
+    tenth = F.floor(F.col("shared") * 10 / F.col("n"))
     heads = named.groupBy("value").agg(*[
-        F.min(F.struct(-F.col("shared"), F.xxhash64("cid", F.lit(seed * HEADS + r)).alias("draw"),
+        F.min(F.struct((-tenth).alias("tenth"), F.xxhash64("cid", F.lit(seed * HEADS + r)).alias("draw"),
                        member.alias("member"))).alias(f"h{r}") for r in range(HEADS)])
     heads = materialise(heads.select("value", F.array_distinct(
         F.array(*[F.col(f"h{r}.member") for r in range(HEADS)])).alias("heads")), "heads")
-    met = named.join(heads, "value").select("cid", "n", "comp", F.explode("heads").alias("head"))
-    fits = (F.col("comp") != F.col("head.comp")) & _like_sizes(F.col("n"), F.col("head.n"), percent)
-    return met.filter(fits).select(F.least("cid", "head.cid").alias("a"),
-                                   F.greatest("cid", "head.cid").alias("b")).distinct()
+    met = named.join(heads, "value").select(member.alias("own"), F.explode("heads").alias("head"))
+    own, head = F.col("own"), F.col("head")
+    fits = (own["comp"] != head["comp"]) & _may_link(own, head, percent)
+    return met.filter(fits).select(F.least(own["cid"], head["cid"]).alias("a"),
+                                   F.greatest(own["cid"], head["cid"]).alias("b")).distinct()
 
 
 def _open_pairs(named: DataFrame) -> int:
@@ -168,7 +174,7 @@ def _cross_pairs(named: DataFrame, percent: int) -> DataFrame:
     ).filter("low < high").select("value", "many"), "mixed")
     block = F.pmod(F.xxhash64("cid"), F.ceil(F.col("many") / BLOCK))
     blocks = named.join(mixed, "value").groupBy("value", block.alias("block")).agg(
-        F.collect_list(F.struct("cid", "n", "comp")).alias("members"))
+        F.collect_list(F.struct("cid", "n", "shared", "comp")).alias("members"))
     blocks = materialise(blocks, "blocks")
     left = blocks.select("value", F.col("block").alias("i"), F.col("members").alias("x"))
     right = blocks.select("value", F.col("block").alias("j"), F.col("members").alias("y"))
@@ -176,7 +182,7 @@ def _cross_pairs(named: DataFrame, percent: int) -> DataFrame:
     def partners(x: Column) -> Column:
         fits = F.filter("y", lambda y: (x["comp"] != y["comp"])
                         & ((F.col("i") < F.col("j")) | (x["cid"] < y["cid"]))
-                        & _like_sizes(x["n"], y["n"], percent))
+                        & _may_link(x, y, percent))
         return F.transform(fits, lambda y: F.struct(
             F.least(x["cid"], y["cid"]).alias("a"), F.greatest(x["cid"], y["cid"]).alias("b")))
 
