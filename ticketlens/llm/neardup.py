@@ -38,6 +38,8 @@ PERCENT = 80
 MARGIN = 30
 #: members of one block of a list
 BLOCK = 128
+#: distinct values of a block that are compared at once
+COLUMNS = 4096
 #: heads that a star round draws from every list, and the most rounds before all pairs are offered
 HEADS = 3
 STAR_ROUNDS = 5
@@ -167,8 +169,10 @@ def _open_pairs(named: DataFrame) -> int:
     return lists.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0
 
 
-def _cross_pairs(named: DataFrame, percent: int) -> DataFrame:
-    """All pairs of a list's members in different components."""
+def _cross_links(named: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links among all pairs of a list's members in different components. A list is cut into blocks;
+    a pair of blocks is one piece of work, to which the sets come once per member, so no pair is ever
+    a row unless it is a link."""
     mixed = materialise(named.groupBy("value").agg(
         F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("many")
     ).filter("low < high").select("value", "many"), "mixed")
@@ -179,16 +183,35 @@ def _cross_pairs(named: DataFrame, percent: int) -> DataFrame:
     left = blocks.select("value", F.col("block").alias("i"), F.col("members").alias("x"))
     right = blocks.select("value", F.col("block").alias("j"), F.col("members").alias("y"))
 
-    def partners(x: Column) -> Column:
-        fits = F.filter("y", lambda y: (x["comp"] != y["comp"])
-                        & ((F.col("i") < F.col("j")) | (x["cid"] < y["cid"]))
-                        & _may_link(x, y, percent))
-        return F.transform(fits, lambda y: F.struct(
-            F.least(x["cid"], y["cid"]).alias("a"), F.greatest(x["cid"], y["cid"]).alias("b")))
-
-    met = left.join(right, "value").filter("i <= j")
-    pairs = met.select(F.explode(F.flatten(F.transform("x", partners))).alias("p"))
-    return pairs.select("p.a", "p.b").distinct()
+    def with_partner(these: str, those: str) -> Column:
+        return F.filter(these, lambda x: F.exists(those, lambda y: (
+            (x["comp"] != y["comp"]) & _may_link(x, y, percent))))
+
+    met = left.join(right, "value").filter("i <= j").select(
+        "value", "i", "j", F.array_union(with_partner("x", "y"), with_partner("y", "x")).alias("m"))
+    rows = met.select("value", "i", "j", F.explode("m").alias("m")).select(
+        "value", "i", "j", "m.cid", "m.comp").join(sets.select("cid", "set"), "cid")
+
+    def links(group: pd.DataFrame) -> pd.DataFrame:
+        cids, comps = group["cid"].to_numpy(), group["comp"].to_numpy()
+        sizes = np.array([len(v) for v in group["set"]])
+        member = np.repeat(np.arange(len(cids)), sizes)
+        _, place = np.unique(np.concatenate(list(group["set"])), return_inverse=True)
+        common = np.zeros((len(cids), len(cids)), dtype=np.float32)
+        order = np.argsort(place, kind="stable")
+        edges = np.searchsorted(place[order], np.arange(0, int(place.max()) + COLUMNS + 1, COLUMNS))
+        for k, (start, end) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            some = order[start:end]
+            cells = np.zeros((len(cids), COLUMNS), dtype=np.float32)
+            cells[member[some], place[some] - k * COLUMNS] = 1.0
+            common += cells @ cells.T
+        common = common.astype(np.int64)
+        every = sizes[:, None] + sizes[None, :] - common
+        a, b = np.nonzero((common * 100 >= every * percent) & (comps[:, None] != comps[None, :])
+                          & (cids[:, None] < cids[None, :]))
+        return pd.DataFrame({"a": cids[a], "b": cids[b]})
+
+    return rows.groupBy("value", "i", "j").applyInPandas(links, "a long, b long").distinct()
 
 
 def _promising(pairs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
@@ -301,7 +324,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         links = found_now if links is None else links.unionByName(found_now)
         components = materialise(connected(links), "components")
     named = materialise(_with_components(entries, components), "named")
-    rest = linked_now(_cross_pairs(named, percent))
+    rest = materialise(_cross_links(named, sets, percent), "links")
     if rest.limit(1).count():
         components = connected(rest if links is None else links.unionByName(rest))
     if components is None:
