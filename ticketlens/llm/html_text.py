@@ -110,8 +110,6 @@ def leaf_blocks(page: str) -> list[tuple[Path, str, int]]:
             links = max(0, links - 1) if m[1] else links + 1
         if tag in SKIPPED:
             if not m[1] and not m[0].endswith("/>"):
-                if tag not in INLINE:
-                    flush()
                 end = re.compile(rf"</{re.escape(tag)}\s*>?", re.IGNORECASE).search(page, at)
                 at = end.end() if end else size
             continue

@@ -155,11 +155,12 @@ def _star_pairs(named: DataFrame, percent: int, seed: int) -> DataFrame:
                        member.alias("member"))).alias(f"h{r}") for r in range(HEADS)])
     heads = materialise(heads.select("value", F.array_distinct(
         F.array(*[F.col(f"h{r}.member") for r in range(HEADS)])).alias("heads")), "heads")
-    met = named.join(heads, "value").select(member.alias("own"), F.explode("heads").alias("head"))
-    own, head = F.col("own"), F.col("head")
-    fits = (own["comp"] != head["comp"]) & _may_link(own, head, percent)
-    return met.filter(fits).select(F.least(own["cid"], head["cid"]).alias("a"),
-                                   F.greatest(own["cid"], head["cid"]).alias("b")).distinct()
+    own = F.struct("cid", "n", "shared", "comp")
+    met = named.join(heads, "value").select(own.alias("own"), F.filter(
+        "heads", lambda h: (h["comp"] != F.col("comp")) & _may_link(h, own, percent)).alias("fit"))
+    pairs = met.select("own.cid", F.explode("fit.cid").alias("head"))
+    return pairs.select(F.least("cid", "head").alias("a"),
+                        F.greatest("cid", "head").alias("b")).distinct()
 
 
 def _open_pairs(named: DataFrame) -> int:

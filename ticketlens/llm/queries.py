@@ -6,7 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlens.llm import chat, decontaminate, exactdup, html_text, langid, licenses, neardup, packing, pii, url_rules
+from ticketlens.llm import (
+    chat,
+    decontaminate,
+    exactdup,
+    html_text,
+    langid,
+    licenses,
+    neardup,
+    packing,
+    pii,
+    url_rules,
+)
 from ticketlens.session import use_utc
 
 
