@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,7 +16,7 @@ from ticketlens.fixed_values import (
     SLA_HOURS,
     TOP_CONTACTS,
 )
-from ticketlens.functions.sql_audit import check_statement
+from ticketlens.functions.sql_audit import UnsafeStatement, check_statement
 
 
 def percent(part: Column, whole: Column) -> Column:
@@ -195,14 +196,31 @@ def data_range(tickets: DataFrame) -> DataFrame:
     )
 
 
+def _check_relations(session: SparkSession, sql: str) -> None:
+    """Every relation of the parsed statement, in subqueries too, must be an allowed view or one of
+    the statement's own CTEs. A CTE must not have the name of a table that exists, because the name
+    would mean that table outside the CTE's scope. Table functions are refused."""
+    if any(not re.fullmatch(r"\w+", name) for name in re.findall("`([^`]*)`", sql)):
+        raise UnsafeStatement("quoted names must be plain words")
+    plan = session._jsparkSession.sessionState().sqlParser().parsePlan(sql).toString()
+    own = {n.strip().lower() for found in re.findall(r"CTE \[([^\]]*)\]", plan)
+           for n in found.split(",")}
+    own = {n for n in own if n in ALLOWED_RELATIONS or not session.catalog.tableExists(n)}
+    for name in re.findall(r"UnresolvedRelation \[([^\]]*)\]", plan):
+        if name.lower() not in own | set(ALLOWED_RELATIONS):
+            raise UnsafeStatement(f"relation not allowed: {name}")
+    if "TableValuedFunction" in plan:
+        raise UnsafeStatement("table functions are not allowed")
+
+
 def guarded_select(
     spark: SparkSession, sql: str, relations: Callable[[SparkSession], dict[str, DataFrame]]
 ) -> DataFrame:
     """Run one read-only SELECT over the allowed relations only, at most ``MAX_LIMIT`` rows.
 
     The statement must pass the text rules first, because ``spark.sql`` runs commands at once. It
-    is then analysed in a session of its own, in which ``relations`` opens the allowed tables and
-    nothing else is visible, so names that the text rules cannot see do not resolve either."""
+    is then parsed in a session of its own, in which ``relations`` opens the allowed tables, and
+    every relation in the parsed tree must be one of these: a session still sees the catalog."""
     safe = check_statement(spark, sql)
     isolated = spark.newSession()
     isolated.conf.set("spark.sql.runSQLOnFiles", "false")
@@ -210,6 +228,7 @@ def guarded_select(
     for name, df in relations(isolated).items():
         if name in ALLOWED_RELATIONS:
             df.createOrReplaceTempView(name)
+    _check_relations(isolated, safe)
     return isolated.sql(safe).limit(MAX_LIMIT)
 
 

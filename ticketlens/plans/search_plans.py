@@ -15,7 +15,6 @@ from ticketlens.fixed_values import (
     STOPWORDS,
 )
 from ticketlens.functions import text as t
-from ticketlens.functions.sql_audit import audit
 from ticketlens.operators import answers as an
 from ticketlens.operators import evaluation as ev
 from ticketlens.operators import features as f
@@ -243,14 +242,13 @@ def _red_team(s, d):
 def _gates(s, d):
     """Gates over figures that the tables yield."""
     predictions = Desk(s, d).predictions
-    judged = audit(Desk(s, d).statements)
     figures = [
         ("category_macro_f1", sc.classification_metrics(predictions), "macro_f1"),
         ("urgent_recall", sc.class_recall(predictions), "urgent_recall"),
         ("agent_routing_accuracy", ev.routing_accuracy(_routed(s, d)), "routing_accuracy"),
         ("answer_grounding", _grounding(s, d), "answer_contains_rate"),
         ("security_pass_rate",
-         judged.agg(F.bround(F.avg(F.when(F.col("ok"), 1.0).otherwise(0.0)), 3).alias("x")), "x"),
+         _red_team(s, d).agg(F.bround(F.sum("passed") / F.sum("cases"), 3).alias("x")), "x"),
     ]
     rows = [df.select(F.lit(name).alias("metric"), F.col(c).alias("value"))
             for name, df, c in figures]
@@ -432,7 +430,8 @@ _OBSERVED = {
     "agent_routing_accuracy": ("routing_accuracy", _ROUTE_SCORE),
     "answer_grounding": ("answer_contains_rate", _GROUND),
     "security_pass_rate": (
-        "x", f"SELECT round_even(AVG(ok::INT), 3) AS x FROM ({TEXT_ORACLE['t11_sql_verdict']})"),
+        "x", f"SELECT round_even(SUM(passed)::DOUBLE / SUM(cases), 3) AS x FROM "
+             f"({ORACLE['e6_red_team']})"),
 }
 ORACLE["e7_quality_gates"] = " UNION ALL ".join(
     f"SELECT '{metric}' AS metric, o.v AS observed, {minimum}::DOUBLE AS minimum, "

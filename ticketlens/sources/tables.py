@@ -44,11 +44,11 @@ TICKETS = T.StructType([
     T.StructField("csat", T.IntegerType(), True),
 ])
 SCHEMAS = {"customers": CUSTOMERS, "orders": ORDERS, "tickets": TICKETS}
-PERSONAL_COLUMNS = ["name", "email", "cpf", "phone"]
+SAFE_CUSTOMER_COLUMNS = ["customer_id", "state", "tier", "signup_date"]
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A whole parquet table: ``folder/name.parquet`` or the directory ``folder/name``."""
+    """A whole parquet table, ``folder/name.parquet`` (a file or a directory of files)."""
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
 
 
@@ -71,8 +71,9 @@ def load_tables(frames: dict[str, DataFrame], folder: str, mode: str = "append")
 
 
 def safe_customer_view(customers: DataFrame, view: str | None = None) -> DataFrame:
-    """Customers without the personal columns; registered as a temp view when named."""
-    safe = customers.drop(*PERSONAL_COLUMNS)
+    """The customer columns that are free of personal data, and no others; registered as a temp view
+    when named. A source without one of them, such as a date, gives the rest."""
+    safe = customers.select(*[c for c in SAFE_CUSTOMER_COLUMNS if c in customers.columns])
     if view:
         safe.createOrReplaceTempView(view)
     return safe
