@@ -54,7 +54,10 @@ def test_bayes_in_long_form_agrees_with_the_library(spark):
     weights = f.tfidf_words(train, "ticket_id", "text")
     classes = ["billing", "shipping"]
     model = c.bayes_fit(weights, train, "ticket_id", "category", classes)
-    predicted = c.bayes_predict(weights, model, "ticket_id", classes)
+    asked = train.select("ticket_id").union(spark.range(900, 901).toDF("ticket_id"))
+    predicted = c.bayes_predict(asked, weights, model, "ticket_id", classes)
+    unknown = predicted.filter("ticket_id = 900").first()
+    assert (unknown["prediction"], unknown["confidence"]) == ("billing", 0.5)
     both = predicted.join(train, "ticket_id")
     assert both.filter("prediction <> category").count() == 0
     w = weights.toPandas()
@@ -134,6 +137,9 @@ def test_latent_vectors_match_the_exact_decomposition(spark):
     rows = [(i, " ".join(words[(i * k) % 7] for k in (1, 2, 3, 5))) for i in range(24)]
     docs = spark.createDataFrame(rows, "k long, text string")
     components = f.fit_lsa(docs, "k", "text", dims=5, iterations=3)
+    empty = spark.createDataFrame([(99, ""), (98, None)], docs.schema)
+    zero = f.embed_lsa(empty, "k", "text", components).collect()
+    assert sorted((r["k"], r["vector"]) for r in zero) == [(98, [0.0] * 5), (99, [0.0] * 5)]
     vectors = f.embed_lsa(docs, "k", "text", components).orderBy("k").toPandas()
     got = np.stack(vectors["vector"].to_numpy())
     assert got.shape == (24, 5) and np.allclose(np.linalg.norm(got, axis=1), 1)

@@ -1,8 +1,8 @@
 """Ticket classification with Spark ML: text features, candidate models, selection, triage.
 
 A linear model keeps one coefficient per class and feature, so its vocabulary has to fit in
-memory; ``TextFeatures`` counts it and refuses to cut it silently. ``bayes_fit`` and
-``bayes_predict`` are the same complement naive Bayes in long form, without any such bound."""
+memory; ``fit_rows`` bounds the labelled rows it learns from, and with them the vocabulary.
+``bayes_fit`` and ``bayes_predict`` are the same complement naive Bayes in long form over all rows."""
 
 from __future__ import annotations
 
@@ -46,7 +46,8 @@ from ticketlens.operators.scores import classification_metrics, macro_f1
 from ticketlens.operators.splits import stratified_folds
 from ticketlens.session import materialise
 
-MAX_TERMS = 1 << 22
+#: labelled rows that a fitted model learns from (about; a hash of the key decides)
+FIT_ROWS = 200_000
 
 
 class TermArray(Transformer, DefaultParamsReadable, DefaultParamsWritable):
@@ -113,10 +114,6 @@ class TextFeatures(Estimator):
             counts = char_counts(df, self.keyCol, self.inputCol)
             terms = vocabulary(counts, df, 3, self.char_features)
         terms = materialise(terms.select("term", "idf"), f"{kind}-vocabulary")
-        if terms.count() > MAX_TERMS:
-            raise ValueError(
-                f"more than {MAX_TERMS} {kind} terms: use the long-form naive Bayes instead"
-            )
         idf = dict(zip(*[column for _, column in terms.toPandas().items()]))
         p = f"_{kind}"
         counter = CountVectorizer(
@@ -203,16 +200,29 @@ def balanced_weights(train: DataFrame, label: str, out: str) -> DataFrame:
     return train.join(F.broadcast(sizes.select(label, weight.alias(out))), label)
 
 
+def sample_rows(rows: DataFrame, key: str, wanted: int) -> DataFrame:
+    """All rows, or about ``wanted`` of them if there are more. A hash of the key decides, so the
+    choice does not depend on order or partitions, and no task or driver gathers the sample."""
+    n = rows.count()
+    if n <= wanted:
+        return rows
+    share = F.pmod(F.xxhash64(F.lit("fit"), F.col(key)), F.lit(1 << 32)) / float(1 << 32)
+    return rows.filter(share < wanted / n)
+
+
 def fit_classifier(
     train: DataFrame, label: str, model: str, text: str = "text", prediction: str = "prediction",
     confidence: str = "confidence", c: float = 4.0, max_iter: int = 100,
     categorical: tuple[str, ...] = (), char_features: int = CHAR_FEATURES, key: str = "ticket_id",
+    fit_rows: int = FIT_ROWS,
 ) -> PipelineModel:
     """``model`` is ``dummy``, ``bayes`` or ``logistic``. ``categorical`` columns are added one-hot;
-    a value not seen in training becomes all zeros."""
+    a value not seen in training becomes all zeros. ``fit_rows`` bounds the labelled rows that
+    ``bayes`` and ``logistic`` learn from (``dummy`` counts all of them)."""
     if model == "dummy":
         value = most_frequent(train, label)
         return PipelineModel([Constant(value=value, prediction=prediction, confidence=confidence)])
+    train = sample_rows(train, key, fit_rows)
     labels = [r[0] for r in train.select(label).distinct().orderBy(label).collect()]
     position = F.array_position(F.array(*[F.lit(v) for v in labels]), F.col(label)) - 1
     rows = balanced_weights(train, label, "_weight").withColumn("_label", position.cast("double"))
@@ -355,12 +365,18 @@ def bayes_fit(weights: DataFrame, labels: DataFrame, key: str, label: str, class
     )
 
 
-def bayes_predict(weights: DataFrame, model: DataFrame, key: str, classes: list[str]) -> DataFrame:
-    """(key, prediction, confidence): class with the largest score, softmax of the scores."""
+def bayes_predict(documents: DataFrame, weights: DataFrame, model: DataFrame, key: str,
+                  classes: list[str]) -> DataFrame:
+    """(key, prediction, confidence) for every row of ``documents``: class with the largest score,
+    softmax of the scores. A text without a known term scores 0 in every class, so it gets the first
+    class with confidence 1 / classes."""
     joined = join_counted(weights, model, "term", "df", key)
-    scores = joined.groupBy(key).agg(*[
+    found = joined.groupBy(key).agg(*[
         F.sum(F.col("weight") * F.col(f"w{i}")).alias(f"_s{i}") for i in range(len(classes))
     ])
+    scores = documents.select(key).join(found, key, "left").select(
+        key, *[F.coalesce(f"_s{i}", F.lit(0.0)).alias(f"_s{i}") for i in range(len(classes))]
+    )
     top = F.greatest(*[F.col(f"_s{i}") for i in range(len(classes))])
     total = sum((F.exp(F.col(f"_s{i}") - F.col("_top")) for i in range(len(classes))), F.lit(0.0))
     name = F.when(F.lit(False), F.lit(""))

@@ -249,11 +249,14 @@ def fit_lsa(documents: DataFrame, key: str, text: str, dims: int = LSA_DIMS, ite
 
 
 def embed_lsa(documents: DataFrame, key: str, text: str, components: DataFrame) -> DataFrame:
-    """(key, vector): unit vectors of the documents in the fitted space. Documents that share no
-    term with it have no row."""
+    """(key, vector): unit vectors of the documents in the fitted space. A document that shares no
+    term with it has the zero vector."""
     counts = word_counts(documents, key, text)
     weights = weigh(counts, key, components.select("term", "df", "idf"), size=components.count())
     joined = join_counted(weights, components.select("term", "df", "vec"), "term", "df", key)
     size = components.select(F.size("vec")).first()[0]
     summed = _weighted_sums(joined, key, size)
-    return summed.select(key, normalise(F.col("vec")).alias("vector"))
+    none = F.array_repeat(F.lit(0.0), size)
+    return documents.select(key).join(summed, key, "left").select(
+        key, normalise(F.coalesce("vec", none)).alias("vector")
+    )

@@ -18,7 +18,12 @@ def top_k_per_group(
 ) -> DataFrame:
     """The first ``k`` rows of each group, numbered from 1. The first round ranks within
     (group, salt) so that a hot group is spread over ``SALTS`` tasks; the second round ranks the
-    survivors. The salt is constant per task, so at most ``k`` rows per group leave a task."""
+    survivors. The salt is constant per task; up to 1,000 rows (Spark's window group limit) a task
+    passes on only ``k`` per group. Without keys it is a plain ordered limit, which cuts in each task
+    for any ``k``."""
+    if not keys:
+        top = df.orderBy(*order).limit(k)
+        return top.withColumn(rank, F.row_number().over(Window.orderBy(*order)))
     salted = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
     first = Window.partitionBy(*keys, "_salt").orderBy(*order)
     last = Window.partitionBy(*keys).orderBy(*order)

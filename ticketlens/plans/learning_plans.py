@@ -60,15 +60,17 @@ def _bayes(s, d):
     documents = _documents(s, d)
     weights = materialise(f.tfidf_words(documents, "doc_id", "text"), "weights")
     model = c.bayes_fit(weights, documents, "doc_id", "lang", LANGUAGES)
-    return c.bayes_predict(weights, model, "doc_id", LANGUAGES).withColumn(
+    return c.bayes_predict(documents, weights, model, "doc_id", LANGUAGES).withColumn(
         "confidence", F.round("confidence", 6)
     )
 
 
 def _frame(s, d):
-    """Ticket texts with tier; the language of the text is what the category model learns."""
+    """Ticket texts with tier; the language of the text is what the category model learns, so a
+    ticket without a text or a language is no labelled row."""
     desk = Desk(s, d)
-    rows = desk.ticket_texts.join(desk.customers.select("customer_id", "tier"), "customer_id")
+    labelled = desk.ticket_texts.filter("body IS NOT NULL AND lang IS NOT NULL")
+    rows = labelled.join(desk.customers.select("customer_id", "tier"), "customer_id")
     return rows.select(
         "ticket_id", "created_at", "channel", "priority", "tier",
         F.col("lang").alias("category"), clean_text(F.col("body")).alias("text"),
@@ -256,8 +258,9 @@ ORACLE = {
                    AS prediction,
                ROUND(1 / ({' + '.join(f'exp(s{i} - top)' for i in _N)}), 6) AS confidence
            FROM (SELECT *, greatest({', '.join(f's{i}' for i in _N)}) AS top FROM (
-               SELECT k, {', '.join(f'SUM(weight * w{i}) AS s{i}' for i in _N)}
-               FROM weights JOIN model USING (term) GROUP BY k))""",
+               SELECT doc_id AS k, {', '.join(f'COALESCE(SUM(weight * w{i}), 0) AS s{i}' for i in _N)}
+               FROM documents LEFT JOIN (weights JOIN model USING (term)) ON k = doc_id
+               GROUP BY doc_id))""",
         extra=f"""{_WORD_WEIGHTS},
             sums AS (SELECT term, SUM(weight) AS everywhere, {_BAYES_IN}
                      FROM weights JOIN documents ON doc_id = k GROUP BY term),
@@ -316,15 +319,17 @@ ORACLE = {
         ])),
 }
 
-# Every document with a word has a vector of the asked width and of length one.
+# Every document has a vector of the asked width, of length one if it has a word and zero if not.
 ORACLE["l18_lsa_embedding"] = f"""
-    SELECT doc_id, 16 AS dims, 1.0::DOUBLE AS norm FROM documents
-    WHERE len({WORDS(FOLD('text'))}) > 0"""
+    SELECT doc_id, 16 AS dims,
+           CASE WHEN len({WORDS(FOLD('text'))}) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm
+    FROM documents"""
 ORACLE["s9_model_registry"] = with_views(
     """SELECT (SELECT lang FROM train GROUP BY lang ORDER BY COUNT(*) DESC, lang LIMIT 1)
               AS prediction, COUNT(*) AS n, 'category' AS name, 1 AS version FROM train""",
     "ticket_texts_v", "customers_v",
     extra="""frame AS (SELECT lang, epoch_us(created_at) AS t
-                       FROM ticket_texts_v JOIN customers_v USING (customer_id)),
+                       FROM ticket_texts_v JOIN customers_v USING (customer_id)
+                       WHERE body IS NOT NULL AND lang IS NOT NULL),
              cut AS (SELECT quantile_cont(t::DOUBLE, 0.8) AS c FROM frame),
              train AS (SELECT lang FROM frame, cut WHERE t < c)""")

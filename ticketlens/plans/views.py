@@ -55,7 +55,7 @@ VIEWS = {
         FROM (SELECT *, CAST(regexp_extract(props, '[0-9]+', 0) AS INT) AS k FROM events) e""",
     "ticket_texts_v": """
         SELECT t.*, d.text AS body, d.lang, d.source
-        FROM tickets_v t JOIN documents d ON d.doc_id = t.ticket_id""",
+        FROM tickets_v t LEFT JOIN documents d ON d.doc_id = t.ticket_id""",
     "daily_v": """
         SELECT CAST(o_orderdate AS DATE) AS day, o_orderpriority AS category, COUNT(*) AS n
         FROM orders GROUP BY CAST(o_orderdate AS DATE), o_orderpriority""",
@@ -228,10 +228,11 @@ class Desk:
 
     @cached_property
     def ticket_texts(self) -> DataFrame:
+        """Every ticket; ``body``, ``lang`` and ``source`` are null where no text was recorded."""
         texts = self.documents.select(
             F.col("doc_id").alias("ticket_id"), F.col("text").alias("body"), "lang", "source"
         )
-        return self.tickets.join(texts, "ticket_id")
+        return self.tickets.join(texts, "ticket_id", "left")
 
     @cached_property
     def daily(self) -> DataFrame:
