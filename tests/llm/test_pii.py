@@ -79,6 +79,34 @@ def test_disguises_are_found_and_plain_words_are_not():
         assert [text[s:e] for _, s, e in found] == want, text
 
 
+def test_disguises_around_plain_signs_are_found_whole():
+    whole = ["jоhn@example.com", "user@example.cоm", "user@exаmple.com", "аnna@example.org",
+             "+1 five five five 867 5309", "+1 (five five five) 867-5309", "+1 555 867-five,three 0 nine",
+             "4111 1111 1111 one one one one", "four 111 1111 1111 1111",
+             "192.168.one.one", "+FIVE\tsix 7 eight 9 one two three four"]
+    for span in whole:
+        text = f"at noon, {span}; two more"
+        found = pii.find_disguised(text, pii.find_plain(text))
+        assert [text[s:e] for _, s, e in found] == [span], text
+
+
+def test_a_part_or_a_repeat_of_a_base_finding_is_not_added():
+    for text in ("at one 10.0.0.1, user@one.com or a.two@example.org (at) 5",
+                 "４ times user@example.com and [at] home", "five: 4111 1111 1111 1111, one of many",
+                 "ｘ +1 555 867 5309 [dot]", "six, seven; ſix fiᴠe 1 2 3"):
+        assert pii.find_disguised(text, pii.find_plain(text)) == [], text
+    text = "two ４111 1111 1111 1111"  # seventeen digits in a row are no card
+    assert [text[s:e] for _, s, e in pii.find_disguised(text, [])] == ["４111 1111 1111 1111"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["one", "Five", "12", "3", " ", "-", ", ", ".", "+", "@", "at", "dot",
+                                 "[at]", "(", "а", "４", "x"]), max_size=16).map("".join))
+def test_every_edit_has_its_trigger(text):
+    for trigger, edits_of in pii.TRANSDUCERS:
+        assert trigger(text) or not edits_of(text)
+
+
 def test_long_texts_take_linear_time():
     for text in ("a" * 300_000 + "@", "1" * 300_000 + ".", " " * 300_000 + "[at]", "a.b " * 50_000 +
                  " at dot ", "+1" + " " * 300_000):

@@ -52,43 +52,13 @@ SPELLED = {
     "six": "6", "seven": "7", "eight": "8", "nine": "9",
 }
 _LOOKS = re.compile("[" + "".join(map(re.escape, LOOK_ALIKE)) + "]")
-_GAP = r"[\t-\r ,-]+"
-_DIGIT_WORD = "(?:" + "|".join(SPELLED) + "|[0-9])"
-#: at least seven spelled or plain digits in a row, one of them spelled
-_SPELLED_RUN = re.compile(
-    rf"\b(?=(?:[0-9]{_GAP})*(?:{'|'.join(SPELLED)})\b){_DIGIT_WORD}(?:{_GAP}{_DIGIT_WORD}){{6,}}\b",
-    re.IGNORECASE)
-_DIGIT = re.compile("[0-9]")
-# what must occur in a text for a kind to be possible; all but email need a digit as well
-NEEDS = {
-    "email": re.compile("@"),
-    "ip": re.compile(r"[0-9]\.[0-9]"),
-    "card": re.compile(r"[0-9](?:[\x20-]?[0-9]){11}"),
-    "phone": re.compile(r"\+[0-9]"),
-}
-
-#: letters and signs that look like others, both in natural order
-LOOK_ALIKE = dict(zip(
-    "аеорсухіјѕАВЕКМНОРСТХІЈЅαοΑΒΕΖΗΙΚΜΝΟΡΤΥΧ＠．。․＋－‐‑‒–",
-    "aeopcyxijsABEKMHOPCTXIJSaoABEZHIKMNOPTYX@...+-----", strict=True))
-LOOK_ALIKE.update({chr(0xFF10 + i): str(i) for i in range(10)})  # wide digits
-LOOK_ALIKE.update({chr(0x0660 + i): str(i) for i in range(10)})  # Arabic-Indic digits
-LOOK_ALIKE.update({chr(0xFF21 + i): chr(65 + i) for i in range(26)})  # wide capitals
-LOOK_ALIKE.update({chr(0xFF41 + i): chr(97 + i) for i in range(26)})  # wide small letters
-SPELLED = {
-    "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5",
-    "six": "6", "seven": "7", "eight": "8", "nine": "9",
-}
-_LOOKS = re.compile("[" + "".join(map(re.escape, LOOK_ALIKE)) + "]")
-_GAP = r"[\t-\r ,-]+"
-_DIGIT_WORD = "(?:" + "|".join(SPELLED) + "|[0-9])"
-#: at least seven spelled or plain digits in a row, one of them spelled
-_SPELLED_RUN = re.compile(
-    rf"\b(?=(?:[0-9]{_GAP})*(?:{'|'.join(SPELLED)})\b){_DIGIT_WORD}(?:{_GAP}{_DIGIT_WORD}){{6,}}\b",
-    re.IGNORECASE)
-_SPELLED_HINT = re.compile(
-    rf"\b(?:{'|'.join(SPELLED)})[\s,-]+{_DIGIT_WORD}\b[\s,-]+{_DIGIT_WORD}\b", re.IGNORECASE)
-_DIGIT = re.compile(_DIGIT_WORD, re.IGNORECASE)
+_GAP = re.compile(r"[\t-\r ,-]+")
+_SPELLED_WORD = rf"(?ai:{'|'.join(SPELLED)})"
+_DIGIT_TOKEN = rf"(?:{_SPELLED_WORD}|[0-9]++)\b"
+#: spelled digits and groups of digits in a row, of any length: what they are is left to ``_valid``
+_DIGIT_RUN = re.compile(rf"\b{_DIGIT_TOKEN}(?:{_GAP.pattern}{_DIGIT_TOKEN})*+")
+_DIGITS = re.compile(_DIGIT_TOKEN)
+_SPELLED = re.compile(rf"\b{_SPELLED_WORD}\b")
 _BRACKET_AT = re.compile(r"\s{0,4}(?:\[\s{0,4}(?:at|@)\s{0,4}\]|\(\s*(?:at|@)\s*\)|\{\s*(?:at|@)\s*\}|<\s*at\s*>)\s{0,4}",
                          re.IGNORECASE)
 _BRACKET_DOT = re.compile(
@@ -102,7 +72,7 @@ _DOT_WORD = re.compile(r"[\t-\r ]+dot[\t-\r ]+", re.IGNORECASE)
 #: A-Z lower-cased and gaps made spaces, byte by byte, so that triggers are plain substrings
 _PLAIN = bytes(
     c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 or c in b",-" else c for c in range(256))
-_DIGIT_TRIGGERS = [f"{word} ".encode() for word in SPELLED]
+_DIGIT_TRIGGERS = [word.encode() for word in SPELLED]
 
 Span = tuple[str, int, int]
 Edit = tuple[int, int, str]
@@ -190,12 +160,23 @@ def _look_edits(text: str) -> list[Edit]:
 
 
 def _digit_edits(text: str) -> list[Edit]:
+    """A digit for its word. A gap between single digits becomes one space, which every pattern of
+    digits allows; next to a group of digits only one without commas and line ends does."""
     edits = []
-    for run in _SPELLED_RUN.finditer(text):
-        words = list(_DIGIT.finditer(text, run.start(), run.end()))
-        for i, w in enumerate(words):  # a digit stands for its word and the gap behind it
-            end = words[i + 1].start() if i + 1 < len(words) else w.end()
-            edits.append((w.start(), end, SPELLED.get(w.group().lower(), w.group())))
+    for run in _DIGIT_RUN.finditer(text):
+        if not _SPELLED.search(run.group()):
+            continue
+        last, grouped = run.start(), False
+        for w in _DIGITS.finditer(text, run.start(), run.end()):
+            digit = SPELLED.get(w.group().lower())
+            group = digit is None and len(w.group()) > 1
+            gap = text[last:w.start()]
+            if gap not in ("", " ", "-") and not (grouped and group) and (
+                    not (grouped or group) or not gap.strip(" \t-")):
+                edits.append((last, w.start(), " "))
+            if digit:
+                edits.append((w.start(), w.end(), digit))
+            last, grouped = w.end(), group
     return edits
 
 
@@ -239,21 +220,25 @@ TRANSDUCERS = ((_looks_trigger, _look_edits), (_digits_trigger, _digit_edits),
 
 
 def find_disguised(text: str, base: list[Span]) -> list[Span]:
-    """Findings in the rewritten text that touch no base finding, as source spans."""
-    steps, now = [], text
+    """Findings in the text after each transducer, as source spans by start, then kind, that are not
+    a base finding of their kind or a part of one, nor a part of another of them."""
+    steps, now, found = [], text, set()
     for trigger, edits_of in TRANSDUCERS:
         if trigger(now) and (edits := edits_of(now)):
             steps.append(Rewritten(now, edits))
             now = steps[-1].text
-    if not steps:
-        return []
-    found = []
-    for kind, start, end in find_plain(now):
-        for step in reversed(steps):
-            start, end = step.source(start, end)
-        if not any(s < end and start < e for _, s, e in base):
-            found.append((kind, start, end))
-    return found
+            for kind, start, end in find_plain(now):
+                for step in reversed(steps):
+                    start, end = step.source(start, end)
+                found.add((kind, start, end))
+    furthest, added = {}, []
+    whole = [(s, -e, 0, k) for k, s, e in base] + [(s, -e, 1, k) for k, s, e in found]
+    for start, back, new, kind in sorted(whole):
+        if -back > furthest.get(kind, -1):  # else one of its kind that began before contains it
+            furthest[kind] = -back
+            if new:
+                added.append((kind, start, -back))
+    return sorted(added, key=lambda span: (span[1], KINDS.index(span[0])))
 
 
 SPANS = "array<struct<kind:string,start:int,end:int>>"
