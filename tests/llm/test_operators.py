@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import re
 from collections import Counter
 
@@ -142,6 +143,35 @@ def test_licenses(spark):
     assert licenses.scan_licenses(docs.limit(0)).count() == 0
 
 
+def test_license_rules_pass_their_gate_and_keyword():
+    for rule in licenses.signature_rules():
+        words = [("any" if w == "*" else w).split("|") for w in rule.spec.split() if not w.endswith("?")]
+        for some in itertools.product(*words):
+            text = "".join(f" {w} " for w in some)
+            assert any(stem in text for stem in licenses.GATES), rule
+            assert f" {rule.keyword} " in text and re.search(licenses.pattern(rule.spec), text), rule
+
+
+def test_licenses_in_their_own_words(spark):
+    texts = {
+        "mit": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this '
+               'software and associated documentation files (the "Software"), to deal in the Software',
+        "cc0": "CC0 1.0 Universal",
+        "isc": "Published under the Internet Systems Consortium License",
+        "bsd": "Redistribution and use in source and binary forms, with or without modification, are "
+               "permitted provided that the following conditions are met",
+        "apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\")",
+        "gpl-2.0+": "the terms of the GNU General Public License as published by the Free Software "
+                    "Foundation; either version 2 of the License",
+        "cc-by-sa": "Creative Commons Attribution-ShareAlike 4.0 International",
+        "cc-by-nc": "Creative Commons Attribution-NonCommercial 4.0 International",
+        "cc-by-nd": "Creative Commons Attribution-NoDerivatives 4.0 International",
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id string, text string")
+    found = licenses.license_summary(licenses.scan_licenses(docs)).collect()
+    assert [r["doc_id"] for r in found if r["doc_id"] not in r["labels"].split(",")] == []
+
+
 def _segmentations(run, p, unknown):
     """Sum over all cuts of a run into pieces, by recursion."""
     if not run:

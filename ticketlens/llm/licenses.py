@@ -22,7 +22,7 @@ from ticketlens.llm.common import free_name, lower_ascii
 WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ANY_CASE_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: every rule contains one of these stems
-GATES = ("licen", "commons", "domain", "rights", "copyleft", "redistribution")
+GATES = ("licen", "commons", "cc0", "domain", "rights", "copyleft", "redistribution", "obtaining")
 PRIORITIES = (1, 2, 3)
 
 #: label: keyword, name specs
@@ -37,7 +37,7 @@ NAMES = {
     "freebsd": ("freebsd", ["freebsd"]),
     "bsd-3-clause": ("bsd", ["bsd 3 clause", "new bsd", "modified bsd"]),
     "bsd-4-clause": ("bsd", ["bsd 4 clause", "original bsd"]),
-    "isc": ("isc", ["isc", "internet systems consortium isc?"]),
+    "isc": ("isc", ["isc"]),
     "gpl": ("general", ["gnu? general public"]),
     "gpl-2.0": ("general", ["gnu? general public license|licence version? 2"]),
     "gpl-3.0": ("general", ["gnu? general public license|licence version? 3"]),
@@ -90,6 +90,8 @@ NAMES = {
     "blueoak": ("oak", ["blue oak model"]),
     "ecl": ("educational", ["educational community"]),
 }
+#: label, keyword, name spec: names without the keyword of their label
+MORE_NAMES = [("isc", "consortium", "internet systems consortium isc?")]
 #: spec with the name in it, priority, confidence
 FORMS = [
     ("{name} license|licence", 1, 0.6),
@@ -103,13 +105,17 @@ SINGLE = [
     ("apache-2.0", "apache", "apache org licenses license 2 0", 3, 1.0),
     ("gpl-2.0+", "published", "general public license|licence as published by the free software foundation either version 2", 3, 1.0),
     ("gpl-3.0+", "published", "general public license|licence as published by the free software foundation either version 3", 3, 1.0),
+    ("mit", "charge", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files?", 3, 1.0),
     ("mit", "charge", "permission is hereby granted free of charge to any person obtaining a copy of this software * * * licens|license|licence|deal|documentation", 3, 1.0),
     ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted", 2, 0.8),
     ("cc", "creative", "creative commons", 1, 0.5),
     ("cc-by", "creative", "creative commons attribution", 2, 0.8),
-    ("cc-by-sa", "creative", "creative commons attribution share alike|sharealike", 3, 0.9),
-    ("cc-by-nc", "creative", "creative commons attribution non commercial|noncommercial", 3, 0.9),
-    ("cc-by-nd", "creative", "creative commons attribution no derivatives|derivs|noderivatives|noderivs", 3, 0.9),
+    ("cc-by-sa", "creative", "creative commons attribution share alike", 3, 0.9),
+    ("cc-by-sa", "creative", "creative commons attribution sharealike", 3, 0.9),
+    ("cc-by-nc", "creative", "creative commons attribution non commercial", 3, 0.9),
+    ("cc-by-nc", "creative", "creative commons attribution noncommercial", 3, 0.9),
+    ("cc-by-nd", "creative", "creative commons attribution no derivatives|derivs", 3, 0.9),
+    ("cc-by-nd", "creative", "creative commons attribution noderivatives|noderivs", 3, 0.9),
     ("cc0", "cc0", "creative? commons? cc0", 3, 0.9),
     ("cc0", "creative", "creative commons zero", 3, 0.9),
     ("public-domain", "domain", "public domain", 1, 0.4),
@@ -133,10 +139,10 @@ class Rule:
 
 def signature_rules() -> list[Rule]:
     """All names in all forms, then the single rules."""
+    names = [(label, keyword, name) for label, (keyword, some) in NAMES.items() for name in some]
     rules = [
         Rule(label, keyword, form.format(name=name), priority, confidence)
-        for label, (keyword, names) in NAMES.items()
-        for name in names
+        for label, keyword, name in names + MORE_NAMES
         for form, priority, confidence in FORMS
     ]
     return rules + [Rule(*row) for row in SINGLE]
