@@ -212,6 +212,21 @@ def test_language_rows(spark):
     assert langid.identify(docs, none).filter("language_.lang_pred = 'und'").count() == 43
 
 
+@pytest.mark.parametrize("end", ["</head>", "</HEAD >", "", "<!-- no end -->"])
+@pytest.mark.parametrize("body", ["<body>", ""])
+def test_a_head_ends_with_or_without_its_tag(end, body):
+    page = (f"<html><head><meta charset=x><title>T</title><style>p{{}}</style><noframes>f</noframes>"
+            f"{end}{body}<header>top</header><article><h1>a</h1><p>one <b>two</b></p></article>")
+    assert [t for _, t, _ in html_text.leaf_blocks(page)] == ["top", "a", "one two"]
+    assert {e[0] for path, _, _ in html_text.leaf_blocks(page) for e in path} == {
+        "html", "header", "article", "h1", "p"} | ({"body"} if body else set())
+
+
+def test_an_end_tag_has_the_whole_name():
+    assert [t for _, t, _ in html_text.leaf_blocks(
+        "<script>a </scripts> b</script x>c<title>t</titles>u</title\n>d")] == ["cd"]
+
+
 def test_pages(spark):
     page = ("<html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href=x>menu</a>"
             "</ul></nav><div class='ad'>buy</div><article><h1>Head</h1><p><b>One &amp; two<br>three"

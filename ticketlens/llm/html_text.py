@@ -33,8 +33,10 @@ EPOCHS = 16
 #: pages times blocks of the longest one that are read at once
 CELLS = 40_000
 
-SKIPPED = frozenset("script style noscript template svg math head iframe object canvas select "
+SKIPPED = frozenset("script style noscript template svg math iframe object canvas select "
                     "textarea title".split())
+#: what else may stand in a head without ending it
+IN_HEAD = frozenset("base basefont bgsound link meta".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark "
                    "q ruby rt rp s samp small span strike strong sub sup time tt u var br img wbr "
@@ -77,6 +79,7 @@ def leaf_blocks(page: str) -> list[tuple[Path, str, int]]:
     stack: list[tuple[str, ...]] = []
     parts: list[str] = []
     linked = links = 0
+    in_head = False
 
     def flush() -> None:
         nonlocal linked
@@ -87,11 +90,12 @@ def leaf_blocks(page: str) -> list[tuple[Path, str, int]]:
         linked = 0
 
     def say(piece: str) -> None:
-        nonlocal linked
+        nonlocal linked, in_head
         if piece:
             if "&" in piece:
                 piece = html.unescape(piece)
             parts.append(piece)
+            in_head = in_head and not piece.strip()
             if links:
                 linked += len(piece.strip())
 
@@ -108,11 +112,15 @@ def leaf_blocks(page: str) -> list[tuple[Path, str, int]]:
         tag = m[2].lower()
         if tag == "a":
             links = max(0, links - 1) if m[1] else links + 1
-        if tag in SKIPPED:
+        if tag == "head":  # no element of its own: its end tag may be left out
+            in_head = not m[1]
+            continue
+        if tag in SKIPPED or in_head and tag == "noframes":
             if not m[1] and not m[0].endswith("/>"):
-                end = re.compile(rf"</{re.escape(tag)}\s*>?", re.IGNORECASE).search(page, at)
+                end = re.compile(rf"</{re.escape(tag)}(?![^\s/>])[^>]*>?", re.IGNORECASE).search(page, at)
                 at = end.end() if end else size
             continue
+        in_head = in_head and tag in IN_HEAD
         if tag in INLINE:
             if tag == "br":
                 parts.append(" ")
