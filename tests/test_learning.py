@@ -257,3 +257,31 @@ def test_answers_respect_ownership_guard_and_masking(spark, index):
     assert out[4]["blocked"] and out[4]["intent"] == "knowledge"
     assert "segurança" in out[4]["answer"] and out[4]["citations"] == []
     assert out[5]["analytics_query"] == "sla_breaches_by_priority"
+
+
+@pytest.mark.parametrize("query, operator, given", [
+    ("l6_logistic_regression", "fit_classifier", ("category", "logistic")),
+    ("l7_priority_model", "fit_priority", ()),
+    ("l8_l15_triage_batch", "fit_classifier", ("category", "bayes")),
+    ("l9_cross_validation", "cross_validate", ("category", "ticket_id")),
+    ("l10_model_selection", "train_category", (None, "category", "ticket_id")),
+    ("s9_model_registry", "fit_classifier", ("category", "dummy")),
+])
+def test_registered_models_use_the_defaults(spark, monkeypatch, query, operator, given):
+    from ticketlens.plans import learning_plans
+
+    class Called(Exception):
+        pass
+
+    def called(train, *args, **settings):
+        raise Called(args, settings)
+
+    class Train:
+        def count(self):
+            return 0
+
+    monkeypatch.setattr(learning_plans, "_prepared", lambda s, d: (None, Train(), None))
+    monkeypatch.setattr(c, operator, called)
+    with pytest.raises(Called) as caught:
+        learning_plans.QUERIES[query](spark, "/root/testdata/sf0.001")
+    assert caught.value.args == (given, {})

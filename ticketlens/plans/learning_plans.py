@@ -84,7 +84,7 @@ def _prepared(s, d):
 
 def _logistic(s, d):
     _, train, test = _prepared(s, d)
-    fitted = c.fit_classifier(train, "category", "logistic", max_iter=10)
+    fitted = c.fit_classifier(train, "category", "logistic")
     return fitted.transform(test).select(
         "ticket_id", F.col("category").alias("label"), "prediction", "confidence"
     )
@@ -92,7 +92,7 @@ def _logistic(s, d):
 
 def _priority(s, d):
     _, train, test = _prepared(s, d)
-    fitted = c.fit_priority(train, max_iter=10)
+    fitted = c.fit_priority(train)
     return fitted.transform(test).select(
         "ticket_id", F.col("priority").alias("label"), "predicted_priority", "priority_confidence"
     )
@@ -100,29 +100,20 @@ def _priority(s, d):
 
 def _validation(s, d):
     _, train, _ = _prepared(s, d)
-    return c.cv_summary(c.cross_validate(
-        train, "category", "ticket_id", ["dummy", "bayes"], 3, char_features=5000
-    ))
+    return c.cv_summary(c.cross_validate(train, "category", "ticket_id"))
 
 
 def _selection(s, d):
     _, train, test = _prepared(s, d)
-    models = ["dummy", "bayes"]
-    summary = c.cv_summary(c.cross_validate(
-        train, "category", "ticket_id", models, 2, char_features=5000
-    ))
-    best = c.select_model(summary, models)
-    fitted = c.fit_classifier(train, "category", best, char_features=5000)
-    tested = fitted.transform(test).select(F.col("category").alias("label"), "prediction",
-                                           "confidence")
-    return sc.classification_metrics(tested).select(F.lit(best).alias("model"), "*")
+    _, best, metrics = c.train_category(train, test, "category", "ticket_id")
+    return metrics.select(F.lit(best).alias("model"), "*")
 
 
 def _models(s, d):
     _, train, _ = _prepared(s, d)
     return (
-        c.fit_classifier(train, "category", "bayes", char_features=5000),
-        c.fit_priority(train, max_iter=5, char_features=5000),
+        c.fit_classifier(train, "category", "bayes"),
+        c.fit_priority(train),
     )
 
 
@@ -147,7 +138,7 @@ def _registry(s, d):
     _, train, _ = _prepared(s, d)
     root = scratch_path(s, "registry")
     for name in ("dummy", "bayes"):
-        model = c.fit_classifier(train, "category", name, char_features=2000)
+        model = c.fit_classifier(train, "category", name)
         registry.register(model, s, root, "category", {"rows": float(train.count())},
                           {"model": name}, "none")
     registry.promote(s, root, "category", 1)
@@ -159,7 +150,7 @@ def _registry(s, d):
 
 def _lsa(s, d):
     documents = _documents(s, d)
-    components = f.fit_lsa(documents, "doc_id", "text", dims=16, iterations=1)
+    components = f.fit_lsa(documents, "doc_id", "text", dims=16)
     return f.embed_lsa(documents, "doc_id", "text", components).select(
         "doc_id", F.size("vector").alias("dims"), F.round(l2_norm(F.col("vector")), 6).alias("norm")
     )

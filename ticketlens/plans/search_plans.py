@@ -153,10 +153,10 @@ def _citations(s, d):
     )
 
 
-def _index_path(s, d) -> tuple[DataFrame, str]:
+def _index_path(s, d, **settings) -> tuple[DataFrame, str]:
     path = scratch_path(s, "index")
     chunks = chunk_markdown(Desk(s, d).sections)
-    size = build_index(chunks, path, dims=16, iterations=1)
+    size = build_index(chunks, path, **settings)
     return size, path
 
 
@@ -256,7 +256,7 @@ def _gates(s, d):
 
 
 QUERIES = {
-    "r1_s10_build_index": lambda s, d: _index_path(s, d)[0],
+    "r1_s10_build_index": lambda s, d: _index_path(s, d, dims=16)[0],
     "r1_search_index": _search,
     "r2_dense_topk": lambda s, d: _rounded(_dense(s, d)),
     "r3_keyword_topk": lambda s, d: _rounded(_keyword(s, d)),
