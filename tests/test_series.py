@@ -168,6 +168,18 @@ def test_streams_equal_batch_over_several_micro_batches(spark, tmp_path):
     assert sorted(map(tuple, daily.collect())) == sorted(map(tuple, expected.collect()))
 
 
+def test_daily_counts_stream_counts_late_rows(spark, tmp_path):
+    table, path = str(tmp_path / "tickets"), str(tmp_path / "daily")
+    for day in ("2024-03-20", "2024-03-21", "2024-03-01", "2024-03-20"):
+        rows = spark.createDataFrame([(f"{day} 10:00:00", "a"), (None, "a")], "at string, category string")
+        rows = rows.select(F.col("at").cast("timestamp").alias("created_at"), "category")
+        rows.coalesce(1).write.mode("append").parquet(table)
+        live = spark.readStream.schema(rows.schema).parquet(table)
+        jobs.daily_counts_stream(live, path, once=True).awaitTermination()
+    got = {(str(r["day"]), r["n"]) for r in jobs.read_daily_counts(spark, path).collect()}
+    assert got == {("None", 4), ("2024-03-01", 1), ("2024-03-20", 2), ("2024-03-21", 1)}
+
+
 def test_audit_log_never_stores_the_text(spark, tmp_path):
     from ticketlens.sources.sinks import append_audit
 

@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ticketlens.fixed_values import DRIFT_WINDOW, RATE_LIMIT, RATE_WINDOW_SECONDS
+from ticketlens.operators.analytics import daily_counts
 from ticketlens.operators.classify import classify_masked
 from ticketlens.operators.scale import latest_rows
 from ticketlens.sources.sinks import audit_records
@@ -49,29 +50,20 @@ def audit_stream(rows: DataFrame, event: str, path: str, once: bool = False) ->
     return _start(writer.option("path", path), f"{path}-checkpoint", once)
 
 
-def daily_counts_stream(
-    tickets: DataFrame, path: str, late: str = "2 days", once: bool = False
-) -> StreamingQuery:
-    """Running counts per (day, category). Each micro-batch appends the counts it changed; a day
-    is dropped from the state once the watermark has passed it."""
-    counts = (
-        tickets.withColumn("_at", F.col("created_at").cast("timestamp"))
-        .withWatermark("_at", late)
-        .groupBy(F.window("_at", "1 day").alias("_day"), "category")
-        .agg(F.count("*").alias("n"))
-        .select(F.to_date("_day.start").alias("day"), "category", "n")
-    )
+def daily_counts_stream(tickets: DataFrame, path: str, once: bool = False) -> StreamingQuery:
+    """Counts per (day, category) of every micro-batch, one folder each. Nothing is held between
+    micro-batches, so a row counts however late it is; a repeated micro-batch overwrites its folder."""
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        daily_counts(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    writer = counts.writeStream.outputMode("update").foreachBatch(append)
+    writer = tickets.writeStream.outputMode("append").foreachBatch(append)
     return _start(writer, f"{path}-checkpoint", once)
 
 
 def read_daily_counts(spark: SparkSession, path: str) -> DataFrame:
-    """The latest count of every (day, category); counts only grow."""
-    return spark.read.parquet(path).groupBy("day", "category").agg(F.max("n").alias("n"))
+    """The counts of every (day, category) over all micro-batches so far."""
+    return spark.read.parquet(path).groupBy("day", "category").agg(F.sum("n").alias("n"))
 
 
 def drift_stream(
