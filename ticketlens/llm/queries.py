@@ -15,6 +15,7 @@ from ticketlens.llm import (
     licenses,
     neardup,
     packing,
+    periodic_runs,
     pii,
     url_rules,
 )
@@ -84,4 +85,9 @@ def op2_minhash_neardup(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, folder, "documents"), width=4)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_minhash_neardup, op3_html_text, op4_url_filter, op5_best_fit_packing, op6_exact_dedup, op7_license_scan, op8_language_id, op9_decontaminate, op10_pii)}
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = periodic_runs.planted_runs(_table(spark, folder, "documents"))
+    return periodic_runs.run_digest(periodic_runs.find_runs(docs))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_minhash_neardup, op3_html_text, op4_url_filter, op5_best_fit_packing, op6_exact_dedup, op7_license_scan, op8_language_id, op9_decontaminate, op10_pii, op13_periodic_runs)}
