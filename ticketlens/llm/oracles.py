@@ -185,3 +185,57 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
   coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN places USING (row_id) LEFT JOIN found USING (row_id)
 """
+
+_CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(
+    str_split(CAST(doc_id AS VARCHAR), ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+  lambda c, x: xor(xor(c, x) >> 1, 3988292384 * (xor(c, x) & 1))), 4294967295)"""
+
+
+def _leaf(n_chars: str) -> str:
+    values = ["doc_id", "source", "lang", n_chars, "text"]
+    parts = [f"coalesce(strlen(CAST({v} AS VARCHAR)) || ':' || CAST({v} AS VARCHAR), '-')" for v in values]
+    return f"sha256({' || '.join(parts)})"
+
+
+ORACLE["op12_merkle_manifest"] = f"""
+WITH RECURSIVE hashed AS (
+  SELECT doc_id, lang, {_leaf('n_chars')} AS leaf,
+    CASE WHEN doc_id IS NOT NULL AND {_CRC} % 7 = 0 THEN {_leaf('n_chars + 1')} ELSE {_leaf('n_chars')} END AS given
+  FROM documents
+), leaves AS (
+  SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+    count(*) OVER (PARTITION BY lang) AS n
+  FROM hashed
+), built(tree, level, pos, n, h) AS (
+  SELECT tree, 0, pos, n, leaf FROM leaves
+  UNION ALL
+  SELECT tree, level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos))
+  FROM built WHERE n > 1 GROUP BY tree, level, pos // 2, n
+), subroots AS (
+  SELECT tree, h, (SELECT count(DISTINCT tree) FROM leaves) AS trees FROM built WHERE n = 1
+), upper(tree, level, pos, n, h) AS (
+  SELECT -1, 0, tree, trees, h FROM subroots
+  UNION ALL
+  SELECT tree, level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos))
+  FROM upper WHERE n > 1 GROUP BY tree, level, pos // 2, n
+), nodes AS (
+  SELECT * FROM built UNION ALL SELECT * FROM upper
+), climb(doc_id, leaf, home, tree, level, pos, n, folded, proof) AS (
+  SELECT doc_id, leaf, tree, tree, 0, pos, n, given, '' FROM leaves
+  UNION ALL
+  SELECT c.doc_id, c.leaf, c.home, CASE WHEN c.n > 1 THEN c.tree ELSE -1 END,
+    CASE WHEN c.n > 1 THEN c.level + 1 ELSE 0 END, CASE WHEN c.n > 1 THEN c.pos // 2 ELSE c.tree END,
+    CASE WHEN c.n > 1 THEN (c.n + 1) // 2 ELSE (SELECT max(trees) FROM subroots) END,
+    CASE WHEN c.n = 1 THEN c.folded WHEN c.pos % 2 = 0 THEN sha256(c.folded || coalesce(s.h, ''))
+      ELSE sha256(s.h || c.folded) END,
+    CASE WHEN c.n = 1 THEN c.proof ELSE c.proof || coalesce(s.h, '') END
+  FROM climb c LEFT JOIN nodes s ON s.tree = c.tree AND s.level = c.level AND s.pos = xor(c.pos, 1)
+  WHERE c.tree >= 0 OR c.n > 1
+)
+SELECT c.doc_id, c.leaf, s.h AS subroot, r.h AS root, sha256(c.proof) AS proof_sha256,
+  c.folded AS folded_root, c.folded = r.h AS verified
+FROM climb c JOIN subroots s ON s.tree = c.home
+CROSS JOIN (SELECT h FROM upper WHERE n = 1) r
+WHERE c.tree = -1 AND c.n = 1
+"""

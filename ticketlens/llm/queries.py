@@ -13,6 +13,7 @@ from ticketlens.llm import (
     html_text,
     langid,
     licenses,
+    manifest,
     neardup,
     packing,
     periodic_runs,
@@ -85,9 +86,20 @@ def op2_minhash_neardup(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, folder, "documents"), width=4)
 
 
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    built = manifest.build_manifest(
+        docs, ["doc_id", "source", "lang", "n_chars", "text"],
+        changed={"n_chars": F.when(tampered, F.col("n_chars") + 1).otherwise(F.col("n_chars"))})
+    return manifest.climb(built).select(
+        F.col("key").alias("doc_id"), "leaf", "subroot", "root",
+        F.sha2(F.concat_ws("", "proof"), 256).alias("proof_sha256"), "folded_root", "verified")
+
+
 def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     docs = periodic_runs.planted_runs(_table(spark, folder, "documents"))
     return periodic_runs.run_digest(periodic_runs.find_runs(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_minhash_neardup, op3_html_text, op4_url_filter, op5_best_fit_packing, op6_exact_dedup, op7_license_scan, op8_language_id, op9_decontaminate, op10_pii, op13_periodic_runs)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_minhash_neardup, op3_html_text, op4_url_filter, op5_best_fit_packing, op6_exact_dedup, op7_license_scan, op8_language_id, op9_decontaminate, op10_pii, op12_merkle_manifest, op13_periodic_runs)}
