@@ -25,3 +25,9 @@ def bounded_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
     long, and a task's memory holds a batch several times."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     return df
+
+
+def sized_batches(df: DataFrame, rows: int = 10_000, size: int = 8 << 20) -> DataFrame:
+    """As ``bounded_batches``, by bytes as well: a batch ends after ``size`` bytes or ``rows`` rows."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+    return bounded_batches(df, rows)

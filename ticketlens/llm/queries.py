@@ -18,6 +18,7 @@ from ticketlens.llm import (
     packing,
     periodic_runs,
     pii,
+    repeats,
     url_rules,
 )
 from ticketlens.session import use_utc
@@ -86,6 +87,13 @@ def op2_minhash_neardup(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, folder, "documents"), width=4)
 
 
+def op11_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    found = repeats.remove_repeats(docs, digest=True)
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+                        F.col("kept").cast("string").alias("kept_sha256"))
+
+
 def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
@@ -102,4 +110,4 @@ def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     return periodic_runs.run_digest(periodic_runs.find_runs(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_minhash_neardup, op3_html_text, op4_url_filter, op5_best_fit_packing, op6_exact_dedup, op7_license_scan, op8_language_id, op9_decontaminate, op10_pii, op12_merkle_manifest, op13_periodic_runs)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_minhash_neardup, op3_html_text, op4_url_filter, op5_best_fit_packing, op6_exact_dedup, op7_license_scan, op8_language_id, op9_decontaminate, op10_pii, op11_repeated_passages, op12_merkle_manifest, op13_periodic_runs)}
