@@ -3,10 +3,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from ticketlens.operators import answers as an
+from ticketlens.operators import blocks as bl
 from ticketlens.operators import classify as c
 from ticketlens.operators import features as f
 from ticketlens.operators import retrieval as r
 from ticketlens.operators import scores as sc
+from ticketlens.operators.scale import first_of_value
+from ticketlens.operators.splits import stratified_folds
 from ticketlens.sources import registry
 from ticketlens.sources.index_store import build_index, open_index
 
@@ -78,6 +81,86 @@ def test_selection_beats_the_baseline(spark):
     assert c.select_model(summary, ["dummy", "bayes"]) == "bayes"
 
 
+def noisy(spark, n=90):
+    rng = np.random.default_rng(11)
+    words = ["pedido", "atraso", "fatura", "cartão", "entrega", "boleto", "rastreio", "estorno", "hoje"]
+    rows = []
+    for i in range(n):
+        label = ["billing", "other", "shipping"][i % 3 if rng.random() < 0.7 else rng.integers(0, 3)]
+        weights = np.roll(np.arange(1, 10) ** 1.5, 3 * (i % 3))
+        picked = rng.choice(9, rng.integers(0, 9), p=weights / weights.sum())
+        rows.append((i, " ".join(words[w] for w in picked), label))
+    return spark.createDataFrame(rows, "ticket_id long, text string, category string")
+
+
+def test_fold_statistics_equal_a_naive_refit(spark):
+    rows, folds = noisy(spark), 3
+    settings = {"char_features": 60, "max_iter": 30}
+    scores = c.cross_validate(rows, "category", "ticket_id", folds=folds, **settings).collect()
+    got = {(r["model"], r["fold"]): r["macro_f1"] for r in scores}
+    assert len(got) == 9
+    dealt = stratified_folds(rows, "category", "ticket_id", folds).cache()
+    for model, fold in got:
+        fitted = c.fit_classifier(dealt.filter(F.col("fold") != fold), "category", model, **settings)
+        tested = fitted.transform(dealt.filter(F.col("fold") == fold))
+        expected = sc.macro_f1(tested.select(F.col("category").alias("label"), "prediction"))
+        assert got[model, fold] == pytest.approx(expected, abs=1e-9), (model, fold)
+    assert len(set(got.values())) > 3
+
+
+def test_first_of_value_cuts_inside_ties(spark):
+    rng = np.random.default_rng(2)
+    rows = [(g, f"t{i:03}", int(rng.integers(0, 6))) for g in (1, 2) for i in range(70)] + [(3, "x", 1)]
+    table = spark.createDataFrame(rows, "g int, term string, total long").repartition(6)
+    for k in (1, 10, 35, 70, 500):
+        got = sorted(map(tuple, first_of_value(table, ["g"], "total", "term", k).collect()))
+        expected = []
+        for g in (1, 2, 3):
+            own = sorted((r for r in rows if r[0] == g), key=lambda r: (-r[2], r[1]))
+            expected += own[:k]
+        assert got == sorted(expected)
+        whole = first_of_value(table.filter("g = 2").drop("g"), [], "total", "term", k).collect()
+        assert sorted((2, *r) for r in whole) == [r for r in got if r[0] == 2]
+
+
+def test_blocked_products_equal_numpy(spark, monkeypatch):
+    monkeypatch.setattr(bl, "ROWS", 16)
+    monkeypatch.setattr(bl, "COLS", 8)
+    monkeypatch.setattr(bl, "HELD", 2)
+    monkeypatch.setattr(bl, "STEP", 50)
+    rng = np.random.default_rng(8)
+    a = rng.normal(size=(50, 45)) * (rng.random((50, 45)) < 0.2)
+    a[:, 3] = rng.normal(size=50)
+    a[7] = 0
+    entries = spark.createDataFrame(
+        [(int(r) // 16, int(r) % 16, int(k) // 8, int(k) % 8, float(a[r, k]))
+         for r, k in zip(*np.nonzero(a))], "rb long, ra long, cb long, ca long, value double")
+    matrix = bl.sparse(entries.repartition(5), "test")
+
+    def strips(x, height):
+        rows = [(i // height, i % height, list(map(float, v))) for i, v in enumerate(x)]
+        return bl.packed_rows(spark.createDataFrame(rows, "block long, at long, vec array<double>"),
+                              height, x.shape[1])
+
+    def dense(s, n):
+        out = np.zeros((n + s.height, s.width))
+        for row in s.frame.collect():
+            start = row["block"] * s.height
+            out[start:start + s.height] = np.frombuffer(row["data"]).reshape(s.height, s.width)
+        return out[:n]
+
+    right, left = rng.normal(size=(45, 6)), rng.normal(size=(50, 6))
+    assert np.allclose(dense(matrix.times(strips(right, 8)), 50), a @ right)
+    both = matrix.times(strips(right, 8), [strips(left, 16).frame])
+    assert np.allclose(dense(both, 50), a @ right + left)
+    assert np.allclose(dense(matrix.transposed_times(strips(left, 16)), 45), a.T @ left)
+    tall = strips(left, 16)
+    values, turn = bl.whitening(bl.triangle(tall))
+    assert np.allclose(values, np.linalg.svd(left, compute_uv=False))
+    q = dense(tall.times(turn), 50)
+    assert np.allclose(q.T @ q, np.eye(6))
+
+
 def test_registry_versions_and_promotion(spark, tmp_path):
     root, rows = str(tmp_path), frame(spark)
     one = c.PipelineModel([c.Constant(value="one", prediction="p", confidence="q")])

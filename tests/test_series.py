@@ -1,5 +1,5 @@
 import datetime as dt
-from collections import defaultdict, deque
+from collections import Counter, defaultdict, deque
 
 import numpy as np
 import pandas as pd
@@ -154,7 +154,7 @@ def test_streams_equal_batch_over_several_micro_batches(spark, tmp_path):
     jobs.rate_stream(live, "key", "ts", "id", str(tmp_path / "rates"), 60, 3, True
                      ).awaitTermination()
     got = {r["id"]: r["accepted"] for r in spark.read.parquet(str(tmp_path / "rates")).collect()}
-    assert set(got) == {r[0] for r in rows}
+    assert set(got) == {r[0] for r in rows}  # files come in any order
 
     long = live.select(F.lit("key").alias("field"), F.col("key").alias("value"), "ts", "id")
     jobs.drift_stream(long, ["ts", "id"], str(tmp_path / "drift"), 50, True).awaitTermination()
@@ -168,6 +168,23 @@ def test_streams_equal_batch_over_several_micro_batches(spark, tmp_path):
     assert sorted(map(tuple, daily.collect())) == sorted(map(tuple, expected.collect()))
 
 
+def test_rate_stream_with_one_busy_key(spark, tmp_path):
+    """One key in many micro-batches, in order; then a request a day later, which frees its state."""
+    start, path, table = dt.datetime(2024, 5, 1), str(tmp_path / "rates"), str(tmp_path / "in")
+    schema = "id long, key string, ts timestamp_ntz"
+    rows = [(i, "busy", start + dt.timedelta(seconds=i * 2 // 3)) for i in range(400)]
+    rows += [(400, "later", start + dt.timedelta(days=1)), (401, "busy", start)]
+    for first, last in ((0, 100), (100, 101), (101, 250), (250, 400), (400, 401), (401, 402)):
+        spark.createDataFrame(rows[first:last], schema).coalesce(1).write.mode("append").parquet(table)
+        live = spark.readStream.schema(schema).parquet(table)
+        jobs.rate_stream(live, "key", "ts", "id", path, 60, 7, once=True).awaitTermination()
+    got = {r["id"]: r["accepted"] for r in spark.read.parquet(path).collect()}
+    assert {i: got[i] for i in range(401)} == decide(rows[:401], 60, 7)
+    assert got[401]  # late, counted, and judged with what is left
+    left = spark.read.parquet(f"{path}-accepted/slot=1").collect()
+    assert [r["id"] for r in left] == [400]
+
+
 def test_daily_counts_stream_counts_late_rows(spark, tmp_path):
     table, path = str(tmp_path / "tickets"), str(tmp_path / "daily")
     for day in ("2024-03-20", "2024-03-21", "2024-03-01", "2024-03-20"):
@@ -180,6 +197,30 @@ def test_daily_counts_stream_counts_late_rows(spark, tmp_path):
     assert got == {("None", 4), ("2024-03-01", 1), ("2024-03-20", 2), ("2024-03-21", 1)}
 
 
+def test_daily_counts_fold_their_folders(spark, tmp_path):
+    table, path = str(tmp_path / "tickets"), str(tmp_path / "daily")
+    days = ["2024-03-20", "2024-03-21", "2024-03-01", "2024-03-20", "2024-03-22", "2024-03-20", "2024-03-01"]
+    for at, day in enumerate(days):
+        rows = spark.createDataFrame([(f"{day} 10:00:00", "a")] * (at + 1), "at string, category string")
+        rows = rows.select(F.col("at").cast("timestamp").alias("created_at"), "category")
+        rows.coalesce(1).write.mode("append").parquet(table)
+        live = spark.readStream.schema(rows.schema).parquet(table)
+        jobs.daily_counts_stream(live, path, ring=2, once=True).awaitTermination()
+        expected = Counter()
+        for k, d in enumerate(days[:at + 1]):
+            expected[d] += k + 1
+        got = {str(r["day"]): r["n"] for r in jobs.read_daily_counts(spark, path).collect()}
+        assert got == expected
+    folders = {str(p.relative_to(path)) for p in (tmp_path / "daily").rglob("*=*")}
+    assert folders == {"ring/slot=0", "ring/slot=1", "folded/side=0", "folded/side=1"}
+    # a fold that was interrupted has fewer rows than it says and is not used
+    folded, upto = jobs._folded_counts(spark, path)
+    assert upto == 5
+    folded.withColumns({"rows": F.lit(99).cast("long"), "upto": F.lit(7).cast("long")}).write.mode(
+        "overwrite").parquet(f"{path}/folded/side=1")
+    assert jobs._folded_counts(spark, path)[1] == 5
+
+
 def test_audit_log_never_stores_the_text(spark, tmp_path):
     from ticketlens.sources.sinks import append_audit
 

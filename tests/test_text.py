@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from ticketlens.fixed_values import (
     INJECTION_PATTERNS,
     MAX_INPUT_CHARS,
+    ORDER_ID,
+    ORDER_NUMBER,
+    ORDER_NUMBER_TOKEN,
     PII_PATTERNS,
     STOPWORDS,
 )
@@ -60,6 +63,29 @@ def column(spark, texts, *columns):
     return [tuple(r)[1:] for r in df.select("i", *columns).orderBy("i").collect()]
 
 
+#: combining marks next to numbers and words, in front and behind, and inside
+DECOMPOSED = [
+    text.replace("|", mark) for mark in ("\u0301", "\u20dd", "\u0903", "\u200d", "_", "\u0661", "x")
+    for text in ("|11 98765-4321|", "123.456.789-09|", "|123.456.789-09 fim", "12.345.678/0001-95|",
+                 "4111 1111 1111 1111|", "|4111 1111 1111 1111 |", "e|u@exam|ple.com|", "12345| pedido",
+                 "|12345", "drop|  table", "drop table|")
+]
+
+
+def test_word_bounds_agree_with_python(spark):
+    rows = column(spark, DECOMPOSED, t.clean_text(F.col("text")), t.extract_order_id(F.col("text")),
+                  t.guard_reason(F.col("text")))
+    for text, (cleaned, order_id, reason) in zip(DECOMPOSED, rows):
+        masked = text
+        for label, pattern in PII_PATTERNS.items():
+            masked = re.sub(pattern, f"[{label}]", masked)
+        assert cleaned == re.sub(ORDER_NUMBER, ORDER_NUMBER_TOKEN, masked.lower()), ascii(text)
+        found = re.search(ORDER_ID, text)
+        assert order_id == (int(found[1]) if found else None), ascii(text)
+        match = re.search("(" + "|".join(INJECTION_PATTERNS) + ")", text, re.IGNORECASE)
+        assert (reason is not None) == (match is not None), ascii(text)
+
+
 def test_personal_data_is_found_and_masked(spark):
     rows = column(spark, [c for c, _ in PII_CASES], t.pii_map(F.col("text")),
                   t.mask_pii(F.col("text")), t.has_pii(F.col("text")))
@@ -68,7 +94,7 @@ def test_personal_data_is_found_and_masked(spark):
 
 
 def test_masking_agrees_with_python(spark):
-    texts = EDGE_TEXTS + [c for c, _ in PII_CASES]
+    texts = EDGE_TEXTS + [c for c, _ in PII_CASES] + DECOMPOSED
     counts = t.pii_counts(F.col("text"))
     rows = column(spark, texts, t.mask_pii(F.col("text")), *counts.values())
     for text, row in zip(texts, rows):

@@ -19,7 +19,28 @@ FORBIDDEN = r"(?i)\b(" + "|".join(FORBIDDEN_SQL) + r")\b"
 RELATION = r"(?i)\b(?:from|join)\s+([a-zA-Z_][\w.]*)"
 CTE_NAME = r"(?i)(?:\bwith|,)\s*([a-zA-Z_]\w*)\s+as\s*\("
 FINAL_LIMIT = r"(?i)\blimit\s+(\d+)\s*$"
-JVM_CALL = r"(?i)\b(reflect|try_reflect|java_method)\s*\("
+JVM_CALL = r"(?i)\b(reflect|try_reflect|java_method|identifier)`?\s*\("
+
+# What the analysed plan of a statement may consist of, by class: everything else is refused.
+PLAN_NODES = frozenset("""
+    Aggregate CTERelationDef CTERelationRef Distinct Except Expand Filter GlobalLimit Intersect Join
+    LateralJoin LocalLimit OneRowRelation Project Sort SubqueryAlias Union Window WithCTE
+""".split())
+EXPRESSIONS = frozenset("""
+    Abs Add AggregateExpression Alias And AttributeReference Average Between CaseWhen Cast Ceil CeilExpressionBuilder
+    Coalesce CommonExpressionDef CommonExpressionRef Concat ConcatWs Contains Count CountIf CurrentDate
+    CurrentRow$ CurrentTimestamp DateAdd DateAddInterval DateDiff DateFormatClass DateSub DatetimeSub DayOfMonth
+    DayOfWeek DayOfYear DenseRank Divide EndsWith EqualNullSafe EqualTo Exists Extract FirstValue First Floor
+    GreaterThan GreaterThanOrEqual Greatest GroupingID Hour If In InSubquery IntegralDivide IsNotNull IsNull Lag Last
+    LastDay LateralSubquery Lead Least Left Length LessThan LessThanOrEqual Like ListQuery Literal Lower
+    Max MaxBy Median Min MinBy Minute Month MonthsBetween Multiply NTile Not NullIf Nvl Or OuterReference
+    ParseToDate ParseToTimestamp PercentRank Percentile PercentileCont Pow Quarter RLike Rank Remainder Right
+    Round RowNumber ScalarSubquery Second SortOrder SpecifiedWindowFrame Sqrt StartsWith StddevPop StddevSamp
+    StringReplace StringTrim StringTrimLeft StringTrimRight Substring Subtract SubtractDates
+    SubtractTimestamps Sum TimestampAddInterval TruncDate TruncTimestamp TryDivide TypedNullLiteral UnaryMinus
+    UnboundedFollowing$ UnboundedPreceding$ Upper VariancePop VarianceSamp WeekDay WeekOfYear
+    WindowExpression WindowSpecDefinition With Year
+""".split())
 
 
 class UnsafeStatement(ValueError):
@@ -74,5 +95,5 @@ def check_statement(spark: SparkSession, sql: str) -> str:
         raise UnsafeStatement(row["reason"])
     calls = spark.createDataFrame([(row["safe_sql"],)], "q string")
     if calls.filter(F.rlike("q", F.lit(JVM_CALL))).count():
-        raise UnsafeStatement("calls into the JVM are not allowed")
+        raise UnsafeStatement("calls into the JVM and computed names are not allowed")
     return row["safe_sql"]

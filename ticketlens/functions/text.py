@@ -5,6 +5,8 @@ as a word character, so ``java_regex`` spells that class out and switches on Uni
 
 from __future__ import annotations
 
+import re
+import sys
 import unicodedata
 
 import pandas as pd
@@ -30,7 +32,16 @@ from ticketlens.fixed_values import (
 WORD = r"\p{L}\p{N}_"
 
 
+#: a word bound; Java's own takes a combining mark for a part of the word
+BOUND = f"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"
+#: a bound right after a digit or letter needs only look ahead
+AFTER_WORD = re.compile(r"(\\d(?:\{\d+\})?\)?|[a-z])\\b")
+
+
 def java_regex(pattern: str, flags: str = "U") -> str:
+    if pattern.startswith(r"\b"):  # all such patterns go on with a digit
+        pattern = f"(?<![{WORD}])" + pattern[2:]
+    pattern = AFTER_WORD.sub(lambda m: f"{m[1]}(?![{WORD}])", pattern).replace(r"\b", BOUND)
     inside_class = pattern.replace(r"[\w", f"[{WORD}")
     return f"(?{flags})" + inside_class.replace(r"\w", f"[{WORD}]")
 
@@ -178,9 +189,14 @@ def tokens(text: Column) -> Column:
 # --- routing ------------------------------------------------------------------------------------
 
 
+#: decimal digits of other scripts, and what they stand for
+_DIGITS = [c for c in map(chr, range(0x80, sys.maxunicode + 1)) if unicodedata.category(c) == "Nd"]
+_VALUES = "".join(str(unicodedata.decimal(c)) for c in _DIGITS)
+
+
 def extract_order_id(text: Column) -> Column:
     digits = F.regexp_extract(text, java_regex(ORDER_ID), 1)
-    return F.nullif(digits, F.lit("")).try_cast("long")
+    return F.nullif(F.translate(digits, "".join(_DIGITS), _VALUES), F.lit("")).try_cast("long")
 
 
 def analytics_match(folded: Column) -> Column:

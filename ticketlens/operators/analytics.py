@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
+from py4j.java_gateway import JavaObject
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +18,12 @@ from ticketlens.fixed_values import (
     SLA_HOURS,
     TOP_CONTACTS,
 )
-from ticketlens.functions.sql_audit import UnsafeStatement, check_statement
+from ticketlens.functions.sql_audit import (
+    EXPRESSIONS,
+    PLAN_NODES,
+    UnsafeStatement,
+    check_statement,
+)
 
 
 def percent(part: Column, whole: Column) -> Column:
@@ -153,6 +160,20 @@ def run_named(name: str, relations: dict[str, DataFrame]) -> DataFrame:
     return NAMED[name][1](relations)
 
 
+def named_answers(relations: dict[str, DataFrame], names: Sequence[str] = tuple(NAMED)) -> DataFrame:
+    """(name, rows): the rows of each named query as one JSON array, in its order, at most
+    ``DISPLAY_LIMIT`` of them. Every query runs once, however many questions ask for it."""
+    parts = []
+    for name in names:
+        shown = display_rows(run_named(name, relations))
+        rows = shown.select(F.monotonically_increasing_id().alias("at"),
+                            F.to_json(F.struct(*shown.columns)).alias("row"))
+        listed = F.transform(F.array_sort(F.collect_list(F.struct("at", "row"))), lambda r: r["row"])
+        parts.append(rows.agg(F.lit(name).alias("name"), F.concat(
+            F.lit("["), F.array_join(listed, ","), F.lit("]")).alias("rows")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def catalogue(spark: SparkSession) -> DataFrame:
     rows = [(name, description) for name, (description, _) in NAMED.items()]
     return spark.createDataFrame(rows, "name string, description string")
@@ -196,21 +217,38 @@ def data_range(tickets: DataFrame) -> DataFrame:
     )
 
 
-def _check_relations(session: SparkSession, sql: str) -> None:
-    """Every relation of the parsed statement, in subqueries too, must be an allowed view or one of
-    the statement's own CTEs. A CTE must not have the name of a table that exists, because the name
-    would mean that table outside the CTE's scope. Table functions are refused."""
-    if any(not re.fullmatch(r"\w+", name) for name in re.findall("`([^`]*)`", sql)):
-        raise UnsafeStatement("quoted names must be plain words")
-    plan = session._jsparkSession.sessionState().sqlParser().parsePlan(sql).toString()
-    own = {n.strip().lower() for found in re.findall(r"CTE \[([^\]]*)\]", plan)
-           for n in found.split(",")}
-    own = {n for n in own if n in ALLOWED_RELATIONS or not session.catalog.tableExists(n)}
-    for name in re.findall(r"UnresolvedRelation \[([^\]]*)\]", plan):
-        if name.lower() not in own | set(ALLOWED_RELATIONS):
-            raise UnsafeStatement(f"relation not allowed: {name}")
-    if "TableValuedFunction" in plan:
-        raise UnsafeStatement("table functions are not allowed")
+def _check_plan(session: SparkSession, plan: JavaObject) -> None:
+    """Every node and expression of an analysed plan, in subqueries too, must be of a listed class, and
+    every table an allowed view that was opened for the statement, whatever its text calls it. A CTE
+    must not have the name of a table that exists."""
+
+    def each(items: JavaObject) -> Iterator[JavaObject]:
+        return (items.apply(i) for i in range(items.size()))
+
+    def check_expression(expression: JavaObject) -> None:
+        kind = expression.getClass().getSimpleName()
+        if kind not in EXPRESSIONS:
+            raise UnsafeStatement(f"function not allowed: {expression.prettyName()} ({kind})")
+        for child in each(expression.children()):
+            check_expression(child)
+
+    kind = plan.getClass().getSimpleName()
+    if kind == "View":
+        name = plan.desc().identifier()
+        if (not plan.isTempView() or name.database().isDefined()
+                or name.table().lower() not in ALLOWED_RELATIONS):
+            raise UnsafeStatement(f"relation not allowed: {name.unquotedString()}")
+        return
+    if kind not in PLAN_NODES:
+        raise UnsafeStatement(f"relation or clause not allowed: {kind}")
+    if kind == "CTERelationDef":
+        own = plan.child().identifier().name()
+        if own.lower() not in ALLOWED_RELATIONS and session.catalog.tableExists(own):
+            raise UnsafeStatement(f"name of a table: {own}")
+    for expression in each(plan.expressions()):
+        check_expression(expression)
+    for part in (*each(plan.subqueries()), *each(plan.children())):
+        _check_plan(session, part)
 
 
 def guarded_select(
@@ -219,8 +257,9 @@ def guarded_select(
     """Run one read-only SELECT over the allowed relations only, at most ``MAX_LIMIT`` rows.
 
     The statement must pass the text rules first, because ``spark.sql`` runs commands at once. It
-    is then parsed in a session of its own, in which ``relations`` opens the allowed tables, and
-    every relation in the parsed tree must be one of these: a session still sees the catalog."""
+    is then analysed, not run, in a session of its own, in which ``relations`` opens the allowed
+    tables. A session still sees the catalog, so the analysed plan has to consist of listed nodes and
+    functions over these tables alone."""
     safe = check_statement(spark, sql)
     isolated = spark.newSession()
     isolated.conf.set("spark.sql.runSQLOnFiles", "false")
@@ -228,8 +267,14 @@ def guarded_select(
     for name, df in relations(isolated).items():
         if name in ALLOWED_RELATIONS:
             df.createOrReplaceTempView(name)
-    _check_relations(isolated, safe)
-    return isolated.sql(safe).limit(MAX_LIMIT)
+    try:
+        found = isolated.sql(safe)
+    except AnalysisException as error:
+        if error.getCondition() != "TABLE_OR_VIEW_NOT_FOUND":
+            raise
+        raise UnsafeStatement("relation not allowed or not there") from error
+    _check_plan(isolated, found._jdf.queryExecution().analyzed())
+    return found.limit(MAX_LIMIT)
 
 
 def display_rows(result: DataFrame) -> DataFrame:

@@ -6,9 +6,11 @@ memory; ``fit_rows`` bounds the labelled rows it learns from, and with them the
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import LogisticRegression, NaiveBayes
+from pyspark.ml.classification import NaiveBayes
 from pyspark.ml.feature import (
     CountVectorizer,
     ElementwiseProduct,
@@ -42,12 +44,23 @@ from ticketlens.operators.features import (
     word_terms,
 )
 from ticketlens.operators.scale import join_counted
-from ticketlens.operators.scores import classification_metrics, macro_f1
+from ticketlens.operators.scores import classification_metrics, macro_f1_by
 from ticketlens.operators.splits import stratified_folds
+from ticketlens.operators.validation import (
+    bayes_by_fold,
+    dummy_by_fold,
+    fold_vectors,
+    fold_weights,
+    in_few_parts,
+    logistic_by_fold,
+    regression,
+)
 from ticketlens.session import materialise
 
 #: labelled rows that a fitted model learns from (about; a hash of the key decides)
 FIT_ROWS = 200_000
+#: steps after which a regression ends even if it has not converged
+MAX_ITER, PRIORITY_MAX_ITER = 2_000, 3_000
 
 
 class TermArray(Transformer, DefaultParamsReadable, DefaultParamsWritable):
@@ -212,7 +225,7 @@ def sample_rows(rows: DataFrame, key: str, wanted: int) -> DataFrame:
 
 def fit_classifier(
     train: DataFrame, label: str, model: str, text: str = "text", prediction: str = "prediction",
-    confidence: str = "confidence", c: float = 4.0, max_iter: int = 100,
+    confidence: str = "confidence", c: float = 4.0, max_iter: int = MAX_ITER,
     categorical: tuple[str, ...] = (), char_features: int = CHAR_FEATURES, key: str = "ticket_id",
     fit_rows: int = FIT_ROWS,
 ) -> PipelineModel:
@@ -246,10 +259,9 @@ def fit_classifier(
     if model == "bayes":
         estimator = NaiveBayes(modelType="complement", smoothing=NB_SMOOTHING, **shared)
     else:
-        estimator = LogisticRegression(
-            family="multinomial", weightCol="_weight", standardization=False, elasticNetParam=0.0,
-            regParam=1.0 / (c * prepared.count()), maxIter=max_iter, **shared,
-        )
+        n = prepared.count()
+        prepared = in_few_parts(prepared, n)
+        estimator = regression(c, n, max_iter, weightCol="_weight", **shared)
     helpers = [f"_{n}_{s}" for n in categorical for s in ("index", "hot")] + ["_text_features"]
     return PipelineModel([
         *stages, estimator.fit(prepared), DropColumns(columns=helpers),
@@ -262,20 +274,29 @@ CANDIDATES = ["dummy", "bayes", "logistic"]
 
 def cross_validate(
     train: DataFrame, label: str, key: str, models: list[str] = CANDIDATES, folds: int = CV_FOLDS,
-    **settings,
+    text: str = "text", c: float = 4.0, max_iter: int = MAX_ITER,
+    char_features: int | None = CHAR_FEATURES, fit_rows: int = FIT_ROWS,
 ) -> DataFrame:
-    """(model, fold, macro_f1) for stratified folds."""
-    dealt = materialise(stratified_folds(train, label, key, folds), "folds")
-    rows = []
-    for model in models:
-        for fold in range(folds):
-            fitted = fit_classifier(
-                dealt.filter(F.col("fold") != fold), label, model, key=key, **settings
-            )
-            tested = fitted.transform(dealt.filter(F.col("fold") == fold))
-            score = macro_f1(tested.select(F.col(label).alias("label"), "prediction"))
-            rows.append((model, fold, float(score)))
-    return train.sparkSession.createDataFrame(rows, "model string, fold int, macro_f1 double")
+    """(model, fold, macro_f1) for stratified folds. All candidates share the weights under the
+    vocabularies of all folds, which come from one pass over the term counts. ``dummy`` sees all
+    rows; ``fit_rows`` bounds those whose texts are read."""
+    dealt = materialise(stratified_folds(train.select(key, label, text), label, key, folds), "folds")
+    parts = []
+    if "dummy" in models:
+        parts.append(("dummy", dummy_by_fold(dealt, label, folds)))
+    if set(models) - {"dummy"}:
+        read = sample_rows(dealt, key, fit_rows)
+        classes = [r[0] for r in read.select(label).distinct().orderBy(label).collect()]
+        weights, terms = fold_weights(read, label, key, text, folds, char_features)
+        if "bayes" in models:
+            parts.append(("bayes", bayes_by_fold(weights, read, label, key, folds, classes)))
+        if "logistic" in models:
+            rows = read.select(key, "fold", label)
+            vectors = fold_vectors(weights, rows, key, folds, terms.count())
+            parts.append(("logistic", logistic_by_fold(vectors, label, folds, classes, c, max_iter)))
+    named = [part.select(F.lit(name).alias("model"), F.col("fold").cast("int").alias("fold"), "label",
+                         "prediction") for name, part in parts]
+    return macro_f1_by(reduce(DataFrame.unionByName, named), ["model", "fold"])
 
 
 def cv_summary(scores: DataFrame) -> DataFrame:
@@ -296,17 +317,19 @@ def train_category(
     **settings,
 ) -> tuple[PipelineModel, str, DataFrame]:
     """Select by cross-validation on the training rows, refit on all of them, score the test."""
-    best = select_model(cv_summary(cross_validate(train, label, key, models, **settings)), models)
+    scores = materialise(cross_validate(train, label, key, models, **settings), "fold-scores")
+    best = select_model(cv_summary(scores), models)
     fitted = fit_classifier(train, label, best, key=key, **settings)
     tested = fitted.transform(test).select(F.col(label).alias("label"), "prediction", "confidence")
     return fitted, best, classification_metrics(tested)
 
 
-def fit_priority(train: DataFrame, label: str = "priority", **settings) -> PipelineModel:
+def fit_priority(train: DataFrame, label: str = "priority", max_iter: int = PRIORITY_MAX_ITER,
+                 **settings) -> PipelineModel:
     return fit_classifier(
         train, label, "logistic", prediction="predicted_priority",
         confidence="priority_confidence", c=2.0, categorical=("tier", "channel", "category"),
-        **settings,
+        max_iter=max_iter, **settings,
     )
 
 

@@ -6,15 +6,25 @@ vocabulary on the driver; terms are keys that are aggregated and joined."""
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ticketlens.fixed_values import CHAR_FEATURES, LSA_DIMS
-from ticketlens.functions.numbers import normalise
 from ticketlens.functions.text import WORD, normalize_accents
-from ticketlens.operators.scale import join_counted, top_k_per_group
+from ticketlens.operators.blocks import (
+    COLS,
+    ROWS,
+    Strips,
+    bound_batches,
+    numbered,
+    packed_rows,
+    sparse,
+    triangle,
+    unpacked_rows,
+    whitening,
+)
+from ticketlens.operators.scale import first_of_value, join_counted, top_k_per_group
 from ticketlens.session import materialise
 
 BROADCAST_TERMS = 1_000_000
@@ -93,8 +103,7 @@ def vocabulary(
         F.count("*").alias("df"), F.sum("tf").alias("total")
     ).filter(F.col("df") >= min_df)
     if max_features:
-        order = [F.col("total").desc(), F.col("term")]
-        terms = top_k_per_group(terms, [], order, max_features).drop("rank")
+        terms = first_of_value(materialise(terms, "terms"), [], "total", "term", max_features)
     size = documents.agg(F.count("*").alias("_n"))
     return terms.join(F.broadcast(size), F.lit(True)).select(
         "term", "df", (F.ln((1 + F.col("_n")) / (1 + F.col("df"))) + 1).alias("idf")
@@ -160,103 +169,90 @@ def discriminative_terms(documents: DataFrame, key: str, text: str, label: str,
 # --- latent semantic vectors ------------------------------------------------------------------
 
 
-def _weighted_sums(rows: DataFrame, by: str, size: int) -> DataFrame:
-    """(by, vec): sum of weight * vec per group. One plain sum per dimension, so that the sums are
-    fixed-width hash aggregates, combined within tasks before the shuffle."""
-    at = range(size)
-    sums = rows.groupBy(by).agg(
-        *[F.sum(F.col("weight") * F.col("vec")[i]).alias(f"_{i}") for i in at]
-    )
-    return sums.select(by, F.array(*[F.col(f"_{i}") for i in at]).alias("vec"))
+def _unit(rows: np.ndarray) -> np.ndarray:
+    length = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+    return rows / np.where(length > 0, length, 1.0)
 
 
-def _gram(rows: DataFrame, size: int) -> np.ndarray:
-    """size x size matrix of inner products of the columns of ``vec``."""
+def _scaled(rows: Strips, factor: Strips, power: float) -> DataFrame:
+    """Every row of ``rows`` times a power of the one number that ``factor`` has for it."""
+    joined = rows.frame.join(factor.frame.withColumnRenamed("data", "factor"), "block")
+    height, width = rows.height, rows.width
 
-    def partial(batches):
-        total = np.zeros((size, size))
+    def run(batches):
         for batch in batches:
-            if len(batch):
-                x = np.stack(batch["vec"].to_numpy())
-                total += x.T @ x
-        yield pd.DataFrame({"i": range(size), "vec": list(total)})
-
-    parts = rows.select("vec").mapInPandas(partial, "i int, vec array<double>")
-    added = parts.withColumn("weight", F.lit(1.0))
-    summed = _weighted_sums(added, "i", size).orderBy("i").collect()
-    return np.array([r["vec"] for r in summed])
-
-
-def _times(rows: DataFrame, key: str, matrix: np.ndarray) -> DataFrame:
-    """Every ``vec`` multiplied by a small matrix from the right."""
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def product(vectors: pd.Series) -> pd.Series:
-        if not len(vectors):
-            return vectors
-        return pd.Series(list(np.stack(vectors.to_numpy()) @ matrix))
-
-    return rows.select(key, product("vec").alias("vec"))
+            for block, data, factors in zip(batch.column(0).to_pylist(), *batch.columns[1:]):
+                by = np.frombuffer(factors.as_buffer()) ** power
+                dense = np.frombuffer(data.as_buffer()).reshape(height, width)
+                out = [(dense * by[:, None]).tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()),
+                                                  pa.array(out, pa.binary())], ["block", "data"])
 
-
-def _orthonormal(rows: DataFrame, key: str, size: int) -> DataFrame:
-    """Columns made orthonormal through the eigenvectors of their Gram matrix; directions that
-    are numerically absent become zero."""
-    values, vectors = np.linalg.eigh(_gram(rows, size))
-    kept = values > values.max() * 1e-12
-    scale = np.where(kept, 1.0 / np.sqrt(np.where(kept, values, 1.0)), 0.0)
-    return _times(rows, key, vectors * scale)
+    return joined.mapInArrow(run, "block long, data binary")
 
 
 def fit_lsa(documents: DataFrame, key: str, text: str, dims: int = LSA_DIMS, iterations: int = 5,
             oversample: int = 10) -> DataFrame:
-    """Components of a truncated SVD of the word weights: (term, df, idf, vec).
-
-    Randomised subspace iteration (Halko, Martinsson and Tropp, 2011) on the long table: products
-    with the matrix and its transpose are join + weighted sum, so neither side is ever held whole;
-    only matrices of ``dims + oversample`` squared reach the driver."""
+    """Components of a truncated SVD of the word weights: (term, df, idf, block, at, vec), where block
+    and at number the terms.
+
+    Randomised subspace iteration (Halko, Martinsson and Tropp, 2011) with products of blocks; columns
+    are made orthonormal by a tree QR. A term of a single document adds only to that document's own
+    row of the matrix times its transpose, so such terms, the most of all, stay out of the products:
+    one number per document stands for them, and their components are made from its final row."""
+    bound_batches(documents.sparkSession)
     counts = word_counts(documents, key, text)
     terms = materialise(vocabulary(counts, documents, 1), "lsa-terms")
-    a = materialise(weigh(counts, key, terms, size=terms.count()), "lsa-weights")
-    dims = max(2, min(dims, documents.count() - 1, terms.count() - 1))
+    n_terms = terms.count()
+    a = materialise(weigh(counts, key, terms, size=n_terms), "lsa-weights")
+    docs = materialise(numbered(documents.select(key).distinct(), key, ROWS), "lsa-documents")
+    shared = materialise(numbered(terms.filter("df > 1"), "term", COLS), "lsa-shared")
+    dims = max(2, min(dims, docs.count() - 1, n_terms - 1))
     size = dims + oversample
-    sign = F.transform(
-        F.sequence(F.lit(0), F.lit(size - 1)),
-        lambda j: F.when(F.xxhash64("term", j) % 2 == 0, 1.0).otherwise(-1.0),
-    )
-    right = terms.select("term", "df", sign.alias("vec"))
-
-    def times_a(right: DataFrame) -> DataFrame:
-        joined = join_counted(a, right, "term", "df", key)
-        return materialise(_weighted_sums(joined, key, size), "lsa-left")
-
-    def times_a_transposed(left: DataFrame) -> DataFrame:
-        products = _weighted_sums(a.join(left, key), "term", size)
-        return materialise(products.join(terms.select("term", "df"), "term"), "lsa-right")
-
-    left = _orthonormal(times_a(right), key, size)
-    for _ in range(iterations):
-        right = times_a_transposed(left)
-        basis = _orthonormal(right, "term", size).join(terms.select("term", "df"), "term")
-        left = _orthonormal(times_a(basis), key, size)
-    right = times_a_transposed(left)
-    values, vectors = np.linalg.eigh(_gram(right, size))
-    top = np.argsort(-values)[:dims]
-    kept = values[top] > max(values.max(), 0.0) * 1e-12
-    rotation = vectors[:, top] * np.where(kept, 1 / np.sqrt(np.where(kept, values[top], 1)), 0)
-    components = _times(right, "term", rotation)
-    return materialise(components.join(terms, "term"), "lsa-components")
+
+    places = shared.select("term", "df", F.col("block").alias("cb"), F.col("at").alias("ca"))
+    rows = docs.select(key, F.col("block").alias("rb"), F.col("at").alias("ra"))
+    entries = join_counted(a, places, "term", "df", key).join(rows, key)
+    matrix = sparse(entries.withColumnRenamed("weight", "value"), "lsa-matrix")
+    single = materialise(a.join(terms.filter("df = 1"), "term"), "lsa-single")
+    squares = single.groupBy(key).agg(F.array(F.sum(F.col("weight") ** 2)).alias("vec"))
+    own = packed_rows(docs.join(squares, key), ROWS, 1).written("lsa-own")
+
+    sign = F.transform(F.sequence(F.lit(0), F.lit(size - 1)),
+                       lambda j: F.when(F.xxhash64(key, j) % 2 == 0, 1.0).otherwise(-1.0))
+    left = packed_rows(docs.withColumn("vec", sign), ROWS, size)
+    for _ in range(iterations + 1):
+        right = matrix.transposed_times(left).written("lsa-right")
+        left = matrix.times(right, [_scaled(left, own, 1.0)]).written("lsa-left")
+        left = left.times(whitening(triangle(left))[1])
+    right = matrix.transposed_times(left).written("lsa-right")
+    beside = Strips(_scaled(left, own, 0.5), ROWS, size)
+    _, turn = whitening(np.linalg.qr(np.vstack([triangle(right), triangle(beside)]), mode="r"))
+    turn = turn[:, :dims]
+
+    found = unpacked_rows(right.times(turn), shared, "term string, df long, idf double")
+    kind = documents.schema[key].dataType.simpleString()
+    rows = unpacked_rows(left.times(turn), docs, f"{key} {kind}")
+    alone = single.join(rows, key).select(
+        "term", "df", "idf", F.transform("vec", lambda x: x * F.col("weight")).alias("vec"))
+    names = numbered(terms.select("term"), "term", COLS)
+    return materialise(found.unionByName(alone).join(names, "term").select(
+        "term", "df", "idf", "block", "at", "vec"), "lsa-components")
 
 
 def embed_lsa(documents: DataFrame, key: str, text: str, components: DataFrame) -> DataFrame:
     """(key, vector): unit vectors of the documents in the fitted space. A document that shares no
     term with it has the zero vector."""
+    bound_batches(documents.sparkSession)
+    terms = components.select("term", "df", "idf", "block", "at")
     counts = word_counts(documents, key, text)
-    weights = weigh(counts, key, components.select("term", "df", "idf"), size=components.count())
-    joined = join_counted(weights, components.select("term", "df", "vec"), "term", "df", key)
+    weights = weigh(counts, key, terms.select("term", "df", "idf"), size=components.count())
+    docs = materialise(numbered(documents.select(key).distinct(), key, ROWS), "lsa-documents")
+    places = terms.select("term", "df", F.col("block").alias("cb"), F.col("at").alias("ca"))
+    rows = docs.select(key, F.col("block").alias("rb"), F.col("at").alias("ra"))
+    entries = join_counted(weights, places, "term", "df", key).join(rows, key)
+    matrix = sparse(entries.withColumnRenamed("weight", "value"), "lsa-matrix")
     size = components.select(F.size("vec")).first()[0]
-    summed = _weighted_sums(joined, key, size)
-    none = F.array_repeat(F.lit(0.0), size)
-    return documents.select(key).join(summed, key, "left").select(
-        key, normalise(F.coalesce("vec", none)).alias("vector")
-    )
+    product = matrix.times(packed_rows(components, COLS, size))
+    kind = documents.schema[key].dataType.simpleString()
+    return unpacked_rows(product, docs, f"{key} {kind}", _unit).withColumnRenamed("vec", "vector")

@@ -118,18 +118,20 @@ def range_counts(
 
 def rate_decisions(
     requests: DataFrame, key: str, at: str, order: str, window: int = RATE_WINDOW_SECONDS,
-    limit: int = RATE_LIMIT,
+    limit: int = RATE_LIMIT, before: DataFrame | None = None,
 ) -> DataFrame:
     """Adds ``accepted`` by the sequential rule: a request is rejected when ``limit`` accepted
-    requests of its key lie in the last ``window`` seconds; rejected ones do not count.
+    requests of its key lie in the last ``window`` seconds; rejected ones do not count. ``before``
+    has requests (same columns) that were accepted earlier; they count and are not returned.
 
     Where fewer than ``limit`` requests fall into two neighbouring windows nothing can be
     rejected, so only runs of busy windows are decided one request after the other, each run on
     its own with the window before it as context. The decision keeps at most ``limit`` times."""
     micros = F.unix_micros(F.col(at).cast("timestamp"))
-    rows = requests.withColumn("_t", micros).withColumn(
-        "_w", F.floor(F.col("_t") / (window * 1000000))
-    )
+    rows = requests.withColumn("_given", F.lit(False))
+    if before is not None:
+        rows = rows.unionByName(before.select(requests.columns).withColumn("_given", F.lit(True)))
+    rows = rows.withColumn("_t", micros).withColumn("_w", F.floor(F.col("_t") / (window * 1000000)))
     per_window = rows.groupBy(key, "_w").agg(F.count("*").alias("_n"))
     by_time = Window.partitionBy(key).orderBy("_w")
     before = F.when(F.lag("_w").over(by_time) == F.col("_w") - 1, F.lag("_n").over(by_time))
@@ -147,7 +149,8 @@ def rate_decisions(
         context.withColumn("_context", F.lit(True))
     )
     # A quiet window right before a run is accepted as it stands and serves as context as well.
-    quiet = rows.join(runs, [key, "_w"], "left_anti").withColumn("accepted", F.lit(True))
+    quiet = rows.join(runs, [key, "_w"], "left_anti").filter("NOT _given").withColumn(
+        "accepted", F.lit(True))
     crowded = rows.join(involved, [key, "_w"])
     columns = requests.columns
     out_fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema.fields]
@@ -158,22 +161,23 @@ def rate_decisions(
         for batch in batches:
             flags = []
             keys, starts = batch[key].tolist(), batch["_run"].tolist()
-            for k, s, t in zip(keys, starts, batch["_t"].tolist()):
+            for k, s, t, given in zip(keys, starts, batch["_t"].tolist(), batch["_given"].tolist()):
                 if (k, s) != run:
                     run, accepted = (k, s), deque()
                 while accepted and t - accepted[0] > window_micros:
                     accepted.popleft()
-                ok = len(accepted) < limit
+                ok = given or len(accepted) < limit
                 if ok:
                     accepted.append(t)
                 flags.append(ok)
             decided = batch.assign(accepted=flags)
-            yield decided.loc[~decided["_context"].astype(bool), [*columns, "accepted"]]
+            returned = ~decided["_context"].astype(bool) & ~decided["_given"].astype(bool)
+            yield decided.loc[returned, [*columns, "accepted"]]
 
     ordered = (
         crowded.repartition(F.col(key), F.col("_run"))
         .sortWithinPartitions(key, "_run", "_t", order)
-        .select(*columns, "_run", "_t", "_context")
+        .select(*columns, "_run", "_t", "_context", "_given")
     )
     decided = ordered.mapInPandas(decide, ", ".join([*out_fields, "accepted boolean"]))
     return quiet.select(*columns, "accepted").unionByName(decided)

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ticketlens.session import materialise
+
 SALTS = 32
 HOT_ROWS = 500_000
 
@@ -36,6 +37,38 @@ def top_k_per_group(
     )
 
 
+def first_of_value(df: DataFrame, keys: Sequence[str], value: str, order: str, k: int) -> DataFrame:
+    """Per group the ``k`` rows of the largest ``value``, equal values by ``order`` (unique), without a
+    merge of every task's best: a histogram of the values gives the one at which a group is cut, rows
+    above it stay, and only the rows at the cut are numbered, over the parts of a range sort. ``df``
+    is read several times, so it should be a written table."""
+    names = [f"_of_{c}" for c in keys]
+    hist = df.groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    down = Window.partitionBy(*keys).orderBy(F.col(value).desc())
+    cuts = hist.withColumn("_to", F.sum("_n").over(down)).filter(F.col("_to") >= k)
+    cuts = cuts.groupBy(*[F.col(c).alias(n) for c, n in zip(keys, names)]).agg(
+        F.max(F.struct(F.col(value).alias("at"), (F.lit(k) - F.col("_to") + F.col("_n")).alias("left"))
+              ).alias("_cut"))
+    same = F.lit(True)
+    for c, name in zip(keys, names):
+        same = same & F.col(c).eqNullSafe(F.col(name))
+    rows = df.join(cuts, same, "left")
+    above = rows.filter(F.col("_cut").isNull() | (F.col(value) > F.col("_cut.at")))
+    tied = rows.filter(F.col(value) == F.col("_cut.at")).repartitionByRange(
+        *[F.col(c) for c in (*keys, order)]).sortWithinPartitions(*keys, order)
+    tied = materialise(tied.withColumn("_id", F.monotonically_increasing_id()), "tied")
+    tied = tied.withColumn("_part", F.shiftright("_id", 33))
+    parts = tied.groupBy(*names, "_part").agg(F.min("_id").alias("_first"), F.count("*").alias("_rows"))
+    earlier = Window.partitionBy(*names).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(*[F.col(n).alias(f"_{n}") for n in names], F.col("_part").alias("_in"),
+                         (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first")).alias("_add"))
+    same = F.col("_part") == F.col("_in")
+    for name in names:
+        same = same & F.col(name).eqNullSafe(F.col(f"_{name}"))
+    first = tied.join(parts, same).filter(F.col("_id") + F.col("_add") < F.col("_cut.left"))
+    return above.select(*df.columns).unionByName(first.select(*df.columns))
+
+
 def latest_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], k: int) -> DataFrame:
     """The ``k`` most recent rows of each group."""
     return top_k_per_group(df, keys, [F.col(c).desc() for c in order], k, "_recent").drop("_recent")
@@ -88,19 +121,12 @@ def number_by_digest(df: DataFrame, keys: Sequence[str], digest: str, out: str)
 def running_share(
     hist: DataFrame, value: str, weight: str, out: str, rows_per_part: int = 100_000
 ) -> DataFrame:
-    """Adds to a histogram (one row per distinct ``value``) the total ``weight`` of all smaller
-    values. A large histogram is cut into ranges at approximate quantiles; a range needs only the
-    sums of the ranges before it, so no task sorts the whole histogram."""
+    """Adds to a histogram (one row per distinct ``value``) the total ``weight`` of all smaller values,
+    as a prefix sum over the parts of a range sort: a part needs only the totals of the parts before
+    it, one row each."""
     parts = 1 + hist.count() // rows_per_part
-    cuts = []
-    if parts > 1:
-        probabilities = [i / parts for i in range(1, parts)]
-        cuts = sorted(set(hist.approxQuantile(value, probabilities, 0.25 / parts)))
-    part = F.lit(0)
-    if cuts:
-        edges = F.array(*[F.lit(c) for c in cuts])
-        part = F.size(F.filter(edges, lambda edge: edge <= F.col(value)))
-    rows = hist.withColumn("_part", part)
+    ordered = hist.repartitionByRange(parts, F.col(value)).withColumn("_part", F.spark_partition_id())
+    rows = materialise(ordered, "ranges")
     sums = rows.groupBy("_part").agg(F.sum(weight).alias("_w"))
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(
@@ -109,7 +135,7 @@ def running_share(
     within = Window.partitionBy("_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     return (
         rows.withColumn("_before", F.coalesce(F.sum(weight).over(within), F.lit(0)))
-        .join(F.broadcast(offsets), "_part")
+        .join(offsets, "_part")
         .withColumn(out, F.col("_before") + F.col("_offset"))
         .drop("_part", "_before", "_offset")
     )
@@ -117,41 +143,40 @@ def running_share(
 
 def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float],
                     bins: int = 2048) -> list[float | None]:
-    """Exact quantiles with linear interpolation. ``percentile`` keeps every distinct value in one
-    buffer; here each pass counts the rows of ``bins`` equal ranges and descends into the ranges
-    that hold the wanted ranks, so only ``bins`` rows reach the driver per pass."""
+    """Exact quantiles with linear interpolation, in two scans whatever the data. ``percentile`` keeps
+    every distinct value in one buffer; here a mergeable sketch brackets every wanted rank, which
+    leaves about 4 in ``bins`` of the rows, and one histogram counts the values inside the brackets
+    and everything between them."""
     values = df.select(F.col(column).cast("double").alias("x")).filter(F.col("x").isNotNull())
-    low, high, n = values.agg(F.min("x"), F.max("x"), F.count("*")).first()
+    margin = 2.0 / bins  # twice the sketch's error
+    around = [(max(0.0, p - margin), min(1.0, p + margin)) for p in probabilities]
+    bounds = sorted({b for pair in around for b in pair})
+    sketch = values.agg(
+        F.percentile_approx("x", bounds, bins).alias("at"), F.min("x").alias("low"),
+        F.max("x").alias("high"), F.count("*").alias("n")).first()
+    n = sketch["n"]
     if not n:
         return [None for _ in probabilities]
+    at = dict(zip(bounds, sketch["at"]))
+    brackets = sorted({(sketch["low"] if a == 0.0 else at[a], sketch["high"] if b == 1.0 else at[b])
+                       for a, b in around})
+    inside = F.lit(False)
+    floor = F.lit(sketch["low"])
+    for low, high in brackets:
+        inside = inside | F.col("x").between(low, high)
+        floor = F.when(F.col("x") > high, F.greatest(floor, F.lit(high))).otherwise(floor)
+    # What lies between brackets is counted at the end of the bracket below, where no wanted rank is.
+    hist = values.groupBy(F.when(inside, F.col("x")).otherwise(floor).alias("x")).agg(
+        F.count("*").alias("w"))
+    ranked = running_share(materialise(hist, "brackets"), "x", "w", "before")
     positions = [(n - 1) * p for p in probabilities]
     ranks = sorted({int(math.floor(h)) for h in positions} | {int(math.ceil(h)) for h in positions})
-    found: dict[int, float] = {}
-    open_ranges = [(low, high, 0, ranks)]
-    while open_ranges:
-        lo, hi, below, wanted = open_ranges.pop()
-        if lo == hi:
-            found.update({r: lo for r in wanted})
-            continue
-        width = (hi - lo) / bins
-        index = F.least(F.floor((F.col("x") - lo) / width), F.lit(bins - 1))
-        counted = (
-            values.filter(F.col("x").between(lo, hi))
-            .groupBy(index.alias("bin"))
-            .agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-            .orderBy("bin")
-            .collect()
-        )
-        inside = defaultdict(list)
-        starts, start = [], below
-        for row in counted:
-            starts.append(start)
-            start += row["n"]
-        for r in wanted:
-            at = max(i for i, s in enumerate(starts) if s <= r)
-            inside[at].append(r)
-        for at, rs in inside.items():
-            open_ranges.append((counted[at]["lo"], counted[at]["hi"], starts[at], rs))
+    wanted = F.lit(False)
+    for r in ranks:
+        wanted = wanted | ((F.col("before") <= r) & (F.lit(r) < F.col("before") + F.col("w")))
+    rows = ranked.filter(wanted).collect()  # at most two values per quantile
+    found = {r: next(row["x"] for row in rows if row["before"] <= r < row["before"] + row["w"])
+             for r in ranks}
     out = []
     for h in positions:
         a, b = found[int(math.floor(h))], found[int(math.ceil(h))]

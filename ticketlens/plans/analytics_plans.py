@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticketlens.functions.text import clean_text
@@ -19,15 +22,34 @@ GUARDED = (
 
 
 def _guarded(spark, folder):
-    def relations(session):
-        desk = Desk(session, folder)
-        return {
-            "tickets": desk.tickets,
-            "orders": desk.orders,
-            "v_customer_safe": safe_customer_view(desk.customers),
-        }
+    return a.guarded_select(spark, GUARDED, lambda session: _relations(session, folder))
+
+
+#: a key and a figure of each named query
+NAMED_FIGURES = {
+    "tickets_by_category": ("category", "tickets"),
+    "sla_breaches_by_priority": ("priority", "breaches"),
+    "carrier_delay_ranking": ("carrier", "delay_rank"),
+    "monthly_volume": ("month", "tickets"),
+    "csat_by_channel": ("channel", "avg_csat"),
+    "top_contacting_customers": ("customer_id", "tickets"),
+}
+
 
-    return a.guarded_select(spark, GUARDED, relations)
+def _relations(spark, folder):
+    desk = Desk(spark, folder)
+    return {"tickets": desk.tickets, "orders": desk.orders,
+            "v_customer_safe": safe_customer_view(desk.customers)}
+
+
+def _named(spark, folder):
+    """The catalogue with the rows of every query in it."""
+    relations = _relations(spark, folder)
+    rows = [a.run_named(name, relations).select(
+        F.lit(name).alias("name"), F.col(key).cast("string").alias("key"),
+        F.col(figure).cast("double").alias("figure"))
+        for name, (key, figure) in NAMED_FIGURES.items()]
+    return a.catalogue(spark).join(reduce(DataFrame.unionByName, rows), "name")
 
 
 def _texts(spark, folder):
@@ -57,9 +79,7 @@ QUERIES = {
     "a6_top_contacting_customers": lambda s, d: a.top_contacting_customers(
         Desk(s, d).tickets, safe_customer_view(Desk(s, d).customers)
     ),
-    "a7_run_named": lambda s, d: a.run_named(
-        "csat_by_channel", {"tickets": Desk(s, d).tickets}
-    ),
+    "a7_run_named": _named,
     "a8_daily_counts": lambda s, d: a.daily_counts(Desk(s, d).tickets),
     "a9_order_lookup_batch": lambda s, d: a.order_lookup_batch(
         Desk(s, d).requests, Desk(s, d).order_heads, Desk(s, d).customers
@@ -74,21 +94,21 @@ QUERIES = {
         lambda session: {"tickets": Desk(session, d).tickets, "orders": Desk(session, d).orders},
     ),
     "q1_quality_issues": lambda s, d: q.quality_issues(
-        Desk(s, d).ticket_texts, ["click", "error", "view"], ["low", "medium", "high", "urgent"]
+        Desk(s, d).ticket_marks, ["click", "error", "view"], ["low", "medium", "high", "urgent"]
     ),
     "q3_declared_constraints": lambda s, d: q.constraint_violations(
         Desk(s, d).customers, "customer_id", ["customer_id", "name", "state", "tier"],
         {"tier": ["standard", "silver"]},
     ),
     "q4_referential_integrity": lambda s, d: q.orphan_rows([
-        ("orders.customer_id", Desk(s, d).orders, "customer_id", Desk(s, d).customers,
+        ("orders.customer_id", Desk(s, d).table("orders"), "o_custkey", Desk(s, d).customers,
          "customer_id"),
         ("tickets.customer_id", Desk(s, d).tickets, "customer_id", Desk(s, d).customers,
          "customer_id"),
-        ("requests.order_id", Desk(s, d).requests, "order_id", Desk(s, d).order_heads,
-         "order_id"),
+        ("requests.order_id", Desk(s, d).requests, "order_id", Desk(s, d).table("orders"),
+         "o_orderkey"),
     ]),
-    "q5_profile": lambda s, d: q.profile(Desk(s, d).ticket_texts),
+    "q5_profile": lambda s, d: q.profile(Desk(s, d).ticket_marks, F.col("body_chars")),
     "q6_fingerprint": lambda s, d: q.fingerprint(Desk(s, d).tickets, ["ticket_id", "category"]),
     "x1_ticket_tier_frame": lambda s, d: x.ticket_frame(
         Desk(s, d).tickets, Desk(s, d).customers
@@ -125,11 +145,12 @@ ORACLE = {
                         / COUNT(*), 1) AS breach_rate_pct
            FROM tickets_v WHERE resolution_hours IS NOT NULL GROUP BY priority""", "tickets_v"),
     "a3_carrier_delay_ranking": with_views(
-        """SELECT carrier, COUNT(*) AS deliveries,
-                  ROUND(100.0::DOUBLE * AVG(late), 1) AS late_pct,
-                  RANK() OVER (ORDER BY AVG(late) DESC) AS delay_rank
-           FROM (SELECT carrier, CASE WHEN delivered_at > estimated_delivery THEN 1 ELSE 0 END late
-                 FROM orders_v WHERE status = 'delivered') GROUP BY carrier""", "orders_v"),
+        """SELECT carrier, n AS deliveries, ROUND(late * 100::DOUBLE / n, 1) AS late_pct,
+                  1 + (SELECT COUNT(*) FROM carried w WHERE w.late * c.n > c.late * w.n) AS delay_rank
+           FROM carried c""", "orders_v",
+        extra="""carried AS (SELECT carrier, COUNT(*) AS n,
+                                    COUNT(*) FILTER (WHERE delivered_at > estimated_delivery) AS late
+                             FROM orders_v WHERE status = 'delivered' GROUP BY carrier)"""),
     "a4_monthly_volume": with_views(
         """SELECT month, n AS tickets, ROUND((n - previous) * 100::DOUBLE / previous, 1)
                   AS mom_growth_pct FROM chained""", "orders_v",
@@ -137,10 +158,13 @@ ORACLE = {
                                    COUNT(*) AS n FROM orders_v GROUP BY 1),
                  chained AS (SELECT *, LAG(n) OVER (ORDER BY month) AS previous FROM months)"""),
     "a5_csat_by_channel": with_views(
-        """SELECT channel, COUNT(*) AS tickets, ROUND(AVG(csat), 2) AS avg_csat,
-                  ROUND(100.0::DOUBLE * COUNT(*) FILTER (WHERE csat <= 2) / COUNT(*), 1)
-                  AS detractors_pct
-           FROM tickets_v WHERE csat IS NOT NULL GROUP BY channel""", "tickets_v"),
+        """SELECT channel, rated AS tickets, ROUND(points::DOUBLE / rated, 2) AS avg_csat,
+                  ROUND(low * 100::DOUBLE / rated, 1) AS detractors_pct FROM channels""", "tickets_v",
+        extra="""scores AS (SELECT channel, csat, COUNT(*) AS n FROM tickets_v
+                            WHERE csat IS NOT NULL GROUP BY channel, csat),
+                 channels AS (SELECT channel, SUM(n)::BIGINT AS rated, SUM(n * csat) AS points,
+                                     SUM(CASE WHEN csat <= 2 THEN n ELSE 0 END) AS low
+                              FROM scores GROUP BY channel)"""),
     "a6_top_contacting_customers": with_views(
         """SELECT customer_id, tier, state, tickets, distinct_categories, last_contact
            FROM ranked WHERE place <= 10""", "tickets_v", "customer_safe_v",
@@ -201,16 +225,16 @@ ORACLE = {
                COUNT(*) FILTER (WHERE tier NOT IN ('standard', 'silver')) FROM customers_v""",
         "customers_v"),
     "q4_referential_integrity": with_views(
-        """SELECT 'orders.customer_id' AS foreign_key, COUNT(*) AS orphans FROM orders_v t
-           WHERE customer_id IS NOT NULL AND NOT EXISTS
-               (SELECT 1 FROM customers_v c WHERE c.customer_id = t.customer_id)
+        """SELECT 'orders.customer_id' AS foreign_key, COUNT(*) AS orphans FROM orders t
+           WHERE o_custkey IS NOT NULL AND NOT EXISTS
+               (SELECT 1 FROM customers_v c WHERE c.customer_id = t.o_custkey)
            UNION ALL SELECT 'tickets.customer_id', COUNT(*) FROM tickets_v t
            WHERE customer_id IS NOT NULL AND NOT EXISTS
                (SELECT 1 FROM customers_v c WHERE c.customer_id = t.customer_id)
            UNION ALL SELECT 'requests.order_id', COUNT(*) FROM requests_v t
            WHERE order_id IS NOT NULL AND NOT EXISTS
-               (SELECT 1 FROM order_heads_v o WHERE o.order_id = t.order_id)""",
-        "orders_v", "customers_v", "tickets_v", "requests_v", "order_heads_v"),
+               (SELECT 1 FROM orders o WHERE o.o_orderkey = t.order_id)""",
+        "customers_v", "tickets_v", "requests_v"),
     "q5_profile": with_views(
         """SELECT 'category' AS field, category AS value,
                   ROUND(COUNT(*)::DOUBLE / SUM(COUNT(*)) OVER (), 3)::DOUBLE AS figure
@@ -268,4 +292,15 @@ ORACLE = {
     "x7_body_length": """SELECT ROUND(quantile_cont(length(text), 0.5), 6) AS median_chars,
                ROUND(quantile_cont(length(text), 0.95), 6) AS p95_chars FROM documents""",
 }
-ORACLE["a7_run_named"] = ORACLE["a5_csat_by_channel"]
+ORACLE["a7_run_named"] = " UNION ALL ".join(
+    f"SELECT '{name}' AS name, '{a.NAMED[name][0]}' AS description, CAST({key} AS VARCHAR) AS key, "
+    f"{figure}::DOUBLE AS figure FROM ("
+    + ORACLE[next(k for k in ORACLE if k.endswith(f"_{name}"))] + ")"
+    for name, (key, figure) in NAMED_FIGURES.items())
+_SLICES = ", ".join(
+    f"CAST(SUM(('0x' || substr(row, {4 * i + 1}, 4))::BIGINT) AS VARCHAR)" for i in range(8))
+ORACLE["q6_fingerprint"] = with_views(
+    f"""SELECT substr(sha256(concat_ws(':', CAST(COUNT(*) AS VARCHAR), {_SLICES})), 1, 12) AS fingerprint
+        FROM (SELECT md5(coalesce(strlen(CAST(ticket_id AS VARCHAR)) || ':' || ticket_id, '-')
+                         || coalesce(strlen(category) || ':' || category, '-')) AS row FROM tickets_v)""",
+    "tickets_v")

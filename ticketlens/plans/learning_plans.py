@@ -9,6 +9,7 @@ from ticketlens.functions.text import clean_text
 from ticketlens.operators import classify as c
 from ticketlens.operators import features as f
 from ticketlens.operators import scores as sc
+from ticketlens.operators.scale import join_counted
 from ticketlens.operators.splits import stratified_folds, temporal_split
 from ticketlens.plans import oracle_terms as ot
 from ticketlens.plans.oracle_text import FOLD, WORDS
@@ -17,6 +18,7 @@ from ticketlens.session import materialise, scratch_path
 from ticketlens.sources import registry
 
 LANGUAGES = ["de", "en", "es", "fr"]
+QUALITIES = ["0", "1"]
 PRIORITIES = ["high", "low", "medium", "urgent"]
 
 
@@ -98,6 +100,14 @@ def _priority(s, d):
     )
 
 
+def _fold_scores(s, d):
+    """Baseline and Bayes on the quality of the labelled documents, fold by fold."""
+    labels = Desk(s, d).table("labels").filter("quality IS NOT NULL")
+    labelled = _documents(s, d).join(labels, "doc_id").withColumn("quality", F.col("quality").cast("string"))
+    return c.cross_validate(labelled, "quality", "doc_id", ["dummy", "bayes"]).withColumn(
+        "macro_f1", F.round("macro_f1", 6))
+
+
 def _validation(s, d):
     _, train, _ = _prepared(s, d)
     return c.cv_summary(c.cross_validate(train, "category", "ticket_id"))
@@ -149,10 +159,18 @@ def _registry(s, d):
 
 
 def _lsa(s, d):
+    """Width and length of every document's vector, and how far its weights reach along the first
+    component, which has the largest singular value."""
     documents = _documents(s, d)
-    components = f.fit_lsa(documents, "doc_id", "text", dims=16)
-    return f.embed_lsa(documents, "doc_id", "text", components).select(
-        "doc_id", F.size("vector").alias("dims"), F.round(l2_norm(F.col("vector")), 6).alias("norm")
+    components = f.fit_lsa(documents, "doc_id", "text")
+    first = components.select("term", "df", F.col("vec")[0].alias("x"))
+    weights = f.tfidf_words(documents, "doc_id", "text", 1)
+    reach = join_counted(weights, first, "term", "df", "doc_id").groupBy("doc_id").agg(
+        F.abs(F.sum(F.col("weight") * F.col("x"))).alias("lead"))
+    vectors = f.embed_lsa(documents, "doc_id", "text", components)
+    return vectors.join(reach, "doc_id", "left").select(
+        "doc_id", F.size("vector").alias("dims"), F.round(l2_norm(F.col("vector")), 6).alias("norm"),
+        F.round(F.coalesce("lead", F.lit(0.0)), 5).alias("lead"),
     )
 
 
@@ -184,6 +202,7 @@ QUERIES = {
     "l9_stratified_folds": lambda s, d: stratified_folds(
         Desk(s, d).tickets, "priority", "ticket_id"
     ).select("ticket_id", "priority", "fold"),
+    "l9_fold_scores": _fold_scores,
     "l9_cross_validation": _validation,
     "l10_model_selection": _selection,
     "l11_classification_metrics": _pred(sc.classification_metrics),
@@ -222,6 +241,16 @@ _BAYES_IN = ", ".join(
     f"SUM(CASE WHEN lang = '{c}' THEN weight ELSE 0 END) AS in{i}" for i, c in enumerate(LANGUAGES)
 )
 _N = range(len(LANGUAGES))
+BAYES_MODEL = f"""{_WORD_WEIGHTS},
+    sums AS (SELECT term, SUM(weight) AS everywhere, {_BAYES_IN}
+             FROM weights JOIN documents ON doc_id = k GROUP BY term),
+    totals AS (SELECT {', '.join(f'SUM(everywhere + 0.3::DOUBLE - in{i}) AS t{i}' for i in _N)} FROM sums),
+    model AS (SELECT term, {', '.join(f'-ln((everywhere + 0.3::DOUBLE - in{i}) / t{i}) AS w{i}' for i in _N)}
+              FROM sums, totals)"""
+_QUALITY_IN = ", ".join(
+    f"SUM(CASE WHEN quality = '{c}' THEN weight ELSE 0 END) AS in{i}" for i, c in enumerate(QUALITIES)
+)
+_Q = range(len(QUALITIES))
 
 ORACLE = {
     "l1_tfidf_words": with_views(
@@ -252,14 +281,7 @@ ORACLE = {
                SELECT doc_id AS k, {', '.join(f'COALESCE(SUM(weight * w{i}), 0) AS s{i}' for i in _N)}
                FROM documents LEFT JOIN (weights JOIN model USING (term)) ON k = doc_id
                GROUP BY doc_id))""",
-        extra=f"""{_WORD_WEIGHTS},
-            sums AS (SELECT term, SUM(weight) AS everywhere, {_BAYES_IN}
-                     FROM weights JOIN documents ON doc_id = k GROUP BY term),
-            totals AS (SELECT {', '.join(f'SUM(everywhere + 0.3::DOUBLE - in{i}) AS t{i}' for i in _N)}
-                       FROM sums),
-            model AS (SELECT term, {', '.join(
-                f'-ln((everywhere + 0.3::DOUBLE - in{i}) / t{i}) AS w{i}' for i in _N)}
-                      FROM sums, totals)"""),
+        extra=BAYES_MODEL),
     "l9_stratified_folds": with_views(
         """SELECT ticket_id, priority, (row_number() OVER (PARTITION BY priority ORDER BY
                md5('42:' || CAST(ticket_id AS VARCHAR))) - 1) % 5 AS fold FROM tickets_v""",
@@ -310,11 +332,86 @@ ORACLE = {
         ])),
 }
 
-# Every document has a vector of the asked width, of length one if it has a word and zero if not.
-ORACLE["l18_lsa_embedding"] = f"""
-    SELECT doc_id, 16 AS dims,
-           CASE WHEN len({WORDS(FOLD('text'))}) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm
-    FROM documents"""
+# A document has a vector of length one if it has a word and zero if not. The first component comes
+# from power iteration with the documents' inner products, which are all positive.
+ORACLE["l18_lsa_embedding"] = with_views(
+    f"""SELECT doc_id, (SELECT least(192, COUNT(*) - 1, (SELECT COUNT(*) - 1 FROM terms)) FROM documents)
+               AS dims, CASE WHEN len({WORDS(FOLD('text'))}) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm,
+               ROUND(COALESCE(y * sqrt(size), 0), 5) AS lead
+        FROM documents LEFT JOIN (SELECT * FROM steps WHERE i = 60) ON k = doc_id""",
+    extra=",\n".join([
+        ot.word_counts("tf", "documents", "doc_id", "text"),
+        ot.vocabulary("terms", "tf", "documents", 1),
+        ot.weights("weights", "tf", "terms"),
+        """shared AS (SELECT * FROM weights WHERE df > 1),
+        own AS (SELECT k, SUM(weight * weight) AS own FROM weights WHERE df = 1 GROUP BY k),
+        steps(i, k, y, size) AS (
+            SELECT 0, k, 1.0::DOUBLE, 1.0::DOUBLE FROM (SELECT DISTINCT k FROM weights)
+            UNION ALL
+            SELECT i, k, z / sqrt(SUM(z * z) OVER ()), sqrt(SUM(z * z) OVER ()) FROM (
+                SELECT i + 1 AS i, k, SUM(part) AS z FROM (
+                    SELECT s.i, w.k, w.weight * t.x AS part
+                    FROM (SELECT s.i, w.term, SUM(w.weight * s.y) AS x
+                          FROM steps s JOIN shared w ON w.k = s.k GROUP BY s.i, w.term) t
+                    JOIN shared w ON w.term = t.term JOIN steps s ON s.k = w.k
+                    UNION ALL
+                    SELECT s.i, s.k, s.y * COALESCE(o.own, 0) FROM steps s LEFT JOIN own o ON o.k = s.k)
+                WHERE i < 60 GROUP BY i, k))""",
+    ]), recursive=True)
+
+_SEEN = "JOIN folds USING (k) JOIN others ON others.f <> folds.fold"
+
+
+def _fold_weights(kind: str, counts: str, min_df: int, limit: int | None) -> str:
+    cap = "" if limit is None else (
+        f" QUALIFY row_number() OVER (PARTITION BY f ORDER BY SUM(tf) DESC, term) <= {limit}")
+    return f"""{kind}_terms AS (SELECT f, term, COUNT(*) AS df FROM {counts} {_SEEN}
+                        GROUP BY f, term HAVING COUNT(*) >= {min_df}{cap}),
+    {kind}_weights AS (SELECT f, k, '{kind}:' || term AS term,
+               w / sqrt(SUM(w * w) OVER (PARTITION BY f, k)) AS weight FROM (
+            SELECT f, k, term, (1 + ln(tf)) * (ln((1 + n)::DOUBLE / (1 + df)) + 1) AS w
+            FROM {counts} JOIN {kind}_terms USING (term) JOIN fold_sizes USING (f)))"""
+
+
+ORACLE["l9_fold_scores"] = with_views(
+    f"""SELECT model, f AS fold, ROUND(AVG(2.0::DOUBLE * hits / (support + predicted)), 6) AS macro_f1 FROM (
+            SELECT model, f, class, SUM(support) AS support, SUM(predicted) AS predicted, SUM(hits) AS hits
+            FROM (SELECT model, f, quality AS class, 1 AS support, 0 AS predicted,
+                         (quality = prediction)::INT AS hits FROM predicted
+                  UNION ALL SELECT model, f, prediction, 0, 1, 0 FROM predicted) GROUP BY ALL)
+        GROUP BY model, f""",
+    extra=",\n".join([
+        """labelled AS (SELECT doc_id, text, CAST(quality AS VARCHAR) AS quality
+                     FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL)""",
+        """folds AS (SELECT doc_id AS k, quality, (row_number() OVER (PARTITION BY quality
+                  ORDER BY md5('42:' || CAST(doc_id AS VARCHAR))) - 1) % 5 AS fold FROM labelled)""",
+        "others AS (SELECT unnest(range(5)) AS f)",
+        "fold_sizes AS (SELECT f, COUNT(*) AS n FROM folds JOIN others ON f <> fold GROUP BY f)",
+        ot.word_counts("word_tf", "labelled", "doc_id", "text"),
+        ot.char_counts("char_tf", "labelled", "doc_id", "text", False),
+        _fold_weights("w", "word_tf", 2, None),
+        _fold_weights("c", "char_tf", 3, 40000),
+        f"""weights AS (SELECT * FROM w_weights UNION ALL SELECT * FROM c_weights),
+        sums AS (SELECT f, term, SUM(weight) AS everywhere, {_QUALITY_IN}
+                 FROM weights JOIN folds USING (k) WHERE fold <> f GROUP BY f, term),
+        totals AS (SELECT f, {', '.join(f'SUM(everywhere + 0.3::DOUBLE - in{i}) AS t{i}' for i in _Q)}
+                   FROM sums GROUP BY f),
+        model AS (SELECT f, term, {', '.join(
+            f'-ln((everywhere + 0.3::DOUBLE - in{i}) / t{i}) AS w{i}' for i in _Q)}
+                  FROM sums JOIN totals USING (f)),
+        scored AS (SELECT fold AS f, k, quality, {', '.join(
+            f'COALESCE(SUM(weight * w{i}), 0) AS s{i}' for i in _Q)}
+                   FROM folds LEFT JOIN (weights JOIN model USING (f, term)) USING (k)
+                   WHERE f IS NULL OR f = fold GROUP BY fold, k, quality),
+        dummy AS (SELECT f, quality AS prediction FROM folds JOIN others ON f <> fold GROUP BY f, quality
+                  QUALIFY row_number() OVER (PARTITION BY f ORDER BY COUNT(*) DESC, quality) = 1),
+        predicted AS (
+            SELECT 'bayes' AS model, f, quality, CASE {' '.join(
+                f"WHEN s{i} >= greatest({', '.join(f's{j}' for j in _Q)}) THEN '{c}'"
+                for i, c in enumerate(QUALITIES))} END AS prediction FROM scored
+            UNION ALL
+            SELECT 'dummy', f, folds.quality, prediction FROM folds JOIN dummy ON f = fold)""",
+    ]))
 ORACLE["s9_model_registry"] = with_views(
     """SELECT (SELECT lang FROM train GROUP BY lang ORDER BY COUNT(*) DESC, lang LIMIT 1)
               AS prediction, COUNT(*) AS n, 'category' AS name, 1 AS version FROM train""",

@@ -20,14 +20,20 @@ from ticketlens.operators import evaluation as ev
 from ticketlens.operators import features as f
 from ticketlens.operators import retrieval as r
 from ticketlens.operators import scores as sc
-from ticketlens.operators.analytics import order_lookup_batch
+from ticketlens.operators.analytics import named_answers, order_lookup_batch
+from ticketlens.operators.classify import bayes_fit, bayes_predict, triage_batch
 from ticketlens.operators.documents import chunk_markdown
 from ticketlens.plans import oracle_terms as ot
 from ticketlens.plans import oracle_text as o
+from ticketlens.plans.analytics_plans import _relations
+from ticketlens.plans.learning_plans import BAYES_MODEL, LANGUAGES, _models
 from ticketlens.plans.learning_plans import ORACLE as LEARNING
+from ticketlens.plans.series_plans import ORACLE as SERIES
+from ticketlens.plans.series_plans import QUERIES as SERIES_QUERIES
 from ticketlens.plans.text_plans import ORACLE as TEXT_ORACLE
 from ticketlens.plans.views import Desk, with_views
 from ticketlens.session import materialise, scratch_path
+from ticketlens.sources import registry
 from ticketlens.sources.index_store import build_index, open_index
 
 
@@ -174,13 +180,22 @@ def _answer_batch(s, d):
     def search(queries, boosts):
         return index.search(materialise(queries, "queries"), 4, boosts=boosts)
 
+    models = _served_models(s, d)
+
     def triage(rows):
-        return rows.withColumn("category", F.lit("shipping")).withColumn(
-            "category_confidence", F.pmod(F.xxhash64("question"), F.lit(100)) / 100
-        )
+        return triage_batch(materialise(rows, "questions"), *models, text="question")
 
+    analytics = materialise(named_answers(_relations(s, d)), "named-answers")
     questions = desk.messages.select(F.col("message_id").alias("query_id"), "customer_id", "text")
-    return an.answer_batch(questions, desk.order_heads, desk.customers, search, triage)
+    return an.answer_batch(questions, desk.order_heads, desk.customers, search, triage, analytics)
+
+
+def _served_models(s, d):
+    """Both triage models as the registry serves them: fitted, registered, promoted and loaded."""
+    root = scratch_path(s, "registry")
+    for name, model in zip(("category", "priority"), _models(s, d)):
+        registry.register(model, s, root, name, {}, {}, "none")
+    return [registry.load(s, root, name) for name in ("category", "priority")]
 
 
 def _golden(s, d) -> DataFrame:
@@ -192,15 +207,44 @@ def _as_source(ranked: DataFrame) -> DataFrame:
     return ranked.select("query_id", "rank", F.col("chunk_id").alias("source"))
 
 
-def _retrieval(s, d):
+#: documents favoured for questions in a language
+LANGUAGE_SOURCES = {lang: [f"src{n}" for n in range(20) if n % len(LANGUAGES) == i]
+                    for i, lang in enumerate(LANGUAGES)}
+
+
+def _triaged(s, d) -> DataFrame:
+    """(query_id, prediction, confidence): the language of every question by complement naive Bayes
+    over the words of all documents."""
+    documents = Desk(s, d).documents.select("doc_id", "text", "lang")
+    counts = f.word_counts(documents, "doc_id", "text")
+    terms = materialise(f.vocabulary(counts, documents, 2), "word-terms")
+    size = terms.count()
+    weights = f.weigh(counts, "doc_id", terms, size=size)
+    model = materialise(bayes_fit(weights, documents, "doc_id", "lang", LANGUAGES), "bayes")
+    items = _questions(s, d)
+    asked = f.weigh(f.word_counts(items, "query_id", "question"), "query_id", terms, size=size)
+    return bayes_predict(items, asked, model, "query_id", LANGUAGES)
+
+
+def _modes(s, d) -> dict[str, DataFrame]:
     keyword = materialise(_keyword(s, d), "keyword")
-    modes = {"keyword": _as_source(keyword), "dense": _as_source(_item_dense(s, d)),
-             "hybrid": _as_source(r.hybrid_topk(_item_dense(s, d), keyword, 5))}
-    return ev.retrieval_report(modes, materialise(_golden(s, d), "golden"))
+    dense = materialise(_item_dense(s, d), "dense")
+    boosts = r.source_prior(_triaged(s, d), "query_id", F.col("prediction"), F.col("confidence"),
+                            LANGUAGE_SOURCES)
+    return {
+        "keyword": _as_source(keyword), "dense": _as_source(dense),
+        "hybrid": _as_source(r.hybrid_topk(dense, keyword, 5)),
+        "hybrid+triage": _as_source(r.hybrid_topk(
+            dense, keyword, 5, _sources(s, d), materialise(boosts, "boosts"))),
+    }
+
+
+def _retrieval(s, d):
+    return ev.retrieval_report(_modes(s, d), materialise(_golden(s, d), "golden"))
 
 
 def _misses(s, d):
-    return ev.top1_misses(_as_source(_keyword(s, d, 5)), materialise(_golden(s, d), "golden"))
+    return ev.misses_by_mode(_modes(s, d), materialise(_golden(s, d), "golden"))
 
 
 def _routed(s, d):
@@ -216,12 +260,14 @@ def _routed(s, d):
 
 
 def _grounding(s, d):
-    fact = F.create_map(*[F.lit(x) for x in ("en", "THE", "fr", "Lès", "de", "und", "es", "Qué")])
-    rows = Desk(s, d).documents.select(
-        F.col("text").alias("answer"), fact[F.col("lang")].alias("answer_contains"),
-        F.when(F.col("lang") == "es", F.array(F.lit("QUE "), F.lit("desde"))).alias("aliases"),
-    )
-    return ev.grounding(rows)
+    """Do the extractive answers hold words of the passage that was asked for? The fact is a run of
+    four words, the alias another."""
+    words = F.split("question", r"\s+")
+    facts = _questions(s, d).select(
+        "query_id", F.array_join(F.slice(words, 2, 4), " ").alias("answer_contains"),
+        F.when(F.col("query_id") % 2 == 0, F.array(F.array_join(F.slice(words, 7, 4), " ")))
+        .alias("aliases"))
+    return ev.grounding(_answers(s, d).join(facts, "query_id"))
 
 
 def _red_team(s, d):
@@ -249,6 +295,8 @@ def _gates(s, d):
         ("answer_grounding", _grounding(s, d), "answer_contains_rate"),
         ("security_pass_rate",
          _red_team(s, d).agg(F.bround(F.sum("passed") / F.sum("cases"), 3).alias("x")), "x"),
+        ("incident_f1", SERIES_QUERIES["w9_detection_metrics"](s, d), "f1"),
+        ("retrieval_hit@3", _retrieval(s, d).filter("mode = 'hybrid+triage'"), "hit_at_3"),
     ]
     rows = [df.select(F.lit(name).alias("metric"), F.col(c).alias("value"))
             for name, df, c in figures]
@@ -256,7 +304,7 @@ def _gates(s, d):
 
 
 QUERIES = {
-    "r1_s10_build_index": lambda s, d: _index_path(s, d, dims=16)[0],
+    "r1_s10_build_index": lambda s, d: _index_path(s, d)[0],
     "r1_search_index": _search,
     "r2_dense_topk": lambda s, d: _rounded(_dense(s, d)),
     "r3_keyword_topk": lambda s, d: _rounded(_keyword(s, d)),
@@ -324,20 +372,34 @@ _SCORED = f"""{ot.keyword_ranking('keyword', 3)}, {_SENTENCES},
 _KIND = "((message_id // 1000) + message_id % 1000) % 11"
 _STATUS_SQL = "CASE status " + " ".join(
     f"WHEN '{k}' THEN '{v}'" for k, v in STATUS_LABELS.items()) + " ELSE status END"
+_FAVOURED = f"""triaged AS (SELECT query_id, CASE {' '.join(
+        f"WHEN s{i} = top THEN {i}" for i in range(len(LANGUAGES)))} END AS language FROM (
+        SELECT *, greatest({', '.join(f's{i}' for i in range(len(LANGUAGES)))}) AS top FROM (
+            SELECT item_id AS query_id, {', '.join(
+                f'COALESCE(SUM(weight * w{i}), 0) AS s{i}' for i in range(len(LANGUAGES)))}
+            FROM benchmark LEFT JOIN (asked_weights JOIN model USING (term)) ON k = item_id
+            GROUP BY item_id))
+        WHERE 1 / ({' + '.join(f'exp(s{i} - top)' for i in range(len(LANGUAGES)))}) >= 0.75),
+    favoured AS (SELECT f.query_id, chunk_id, dense_rank, score + CASE
+            WHEN CAST(substr(source, 4) AS INT) % {len(LANGUAGES)} = language
+            THEN 1.0::DOUBLE / 61 ELSE 0 END AS score
+        FROM fused f LEFT JOIN documents ON doc_id = chunk_id LEFT JOIN triaged USING (query_id))"""
+_MODES = f"""{_RANKED}, {BAYES_MODEL},
+    {ot.word_counts('asked_tf', 'benchmark', 'item_id', 'text')},
+    {ot.weights('asked_weights', 'asked_tf', 'terms')}, {_FAVOURED},
+    hits AS (
+        SELECT 'keyword' AS mode, query_id, chunk_id, rank FROM keyword
+        UNION ALL SELECT 'dense', query_id, chunk_id, rank FROM dense
+        UNION ALL SELECT 'hybrid', query_id, chunk_id, rank FROM ({_best_sql('fused', 5)})
+        UNION ALL SELECT 'hybrid+triage', query_id, chunk_id, rank FROM ({_best_sql('favoured', 5)}))"""
 _HIT = """, ranks AS (SELECT mode, g.query_id, MIN(h.rank) AS rank
       FROM (SELECT DISTINCT item_id AS query_id FROM qrels_v) g CROSS JOIN
-           (SELECT unnest(['keyword', 'dense', 'hybrid']) AS mode) m
+           (SELECT unnest(['keyword', 'dense', 'hybrid', 'hybrid+triage']) AS mode) m
       LEFT JOIN (SELECT h.*, item_id FROM hits h
                  JOIN qrels_v v ON v.item_id = h.query_id AND v.doc_id = h.chunk_id
                  WHERE h.rank <= 5) h USING (mode, query_id)
       GROUP BY 1, 2)"""
 _ROUTED = TEXT_ORACLE["t7_t8_t9_routing"]
-_GROUND = """SELECT round_even(AVG(hit::INT), 3) AS answer_contains_rate, COUNT(*) AS n FROM (
-        SELECT CASE lang WHEN 'en' THEN contains(lower(text), 'the')
-                         WHEN 'fr' THEN contains(lower(text), 'lès')
-                         WHEN 'de' THEN contains(lower(text), 'und')
-                         ELSE contains(lower(text), 'qué') OR contains(lower(text), 'que ')
-                              OR contains(lower(text), 'desde') END AS hit FROM documents)"""
 _ROUTE_SCORE = f"""SELECT round_even(AVG((intent = expected)::INT), 3) AS routing_accuracy,
                COUNT(*) AS n, COUNT(*) FILTER (WHERE intent <> expected) AS errors
            FROM (SELECT intent, CASE WHEN {_KIND} IN (2, 4, 6, 9) THEN 'analytics'
@@ -400,20 +462,16 @@ ORACLE = {
                round_even(AVG(COALESCE(rank <= 5, false)::INT), 3) AS hit_at_k,
                round_even(AVG(COALESCE(1.0::DOUBLE / rank, 0)), 3) AS mrr, COUNT(*) AS n
            FROM ranks GROUP BY mode""", "qrels_v",
-        extra=f"""{_RANKED}, hits AS (
-            SELECT 'keyword' AS mode, query_id, chunk_id, rank FROM keyword
-            UNION ALL SELECT 'dense', query_id, chunk_id, rank FROM dense
-            UNION ALL SELECT 'hybrid', query_id, chunk_id, rank FROM ({_best_sql('fused', 5)})){_HIT}"""),
+        extra=_MODES + _HIT),
     "e3_top1_misses": with_views(
-        """SELECT query_id, (SELECT MIN(doc_id) FROM qrels_v v WHERE v.item_id = query_id) AS expected,
-               (SELECT string_agg(CAST(chunk_id AS VARCHAR), ',' ORDER BY rank) FROM keyword k
-                WHERE k.query_id = r.query_id AND rank <= 3) AS got
-           FROM (SELECT q.item_id AS query_id, MIN(k.rank) AS rank FROM qrels_v q
-                 LEFT JOIN keyword k ON k.query_id = q.item_id AND k.chunk_id = q.doc_id
-                 GROUP BY 1 HAVING MIN(k.rank) IS NULL OR MIN(k.rank) <> 1
-                 ORDER BY 1 LIMIT 5) r""", "qrels_v", extra=ot.keyword_ranking("keyword", 5)),
+        """SELECT mode, query_id,
+               (SELECT MIN(doc_id) FROM qrels_v v WHERE v.item_id = query_id) AS expected,
+               (SELECT string_agg(CAST(chunk_id AS VARCHAR), ',' ORDER BY rank) FROM hits h
+                WHERE h.mode = r.mode AND h.query_id = r.query_id AND rank <= 3) AS got
+           FROM (SELECT mode, query_id, row_number() OVER (PARTITION BY mode ORDER BY query_id) AS place
+                 FROM ranks WHERE rank IS NULL OR rank <> 1) r WHERE place <= 5""", "qrels_v",
+        extra=_MODES + _HIT),
     "e4_routing_accuracy": _ROUTE_SCORE,
-    "e5_grounding": _GROUND,
     "e6_red_team": with_views(
         f"""SELECT 'injection' AS suite, COUNT(*) AS cases, COUNT(*) AS passed FROM messages_v
                WHERE {_KIND} IN (3, 8)
@@ -424,11 +482,23 @@ ORACLE = {
         "messages_v", "statements_v"),
 }
 
+ORACLE["e5_grounding"] = f"""
+    SELECT round_even(AVG((contains(said, fact) OR COALESCE(contains(said, alias), false))::INT), 3)
+               AS answer_contains_rate, COUNT(*) AS n
+    FROM (SELECT lower(answer) AS said, lower(array_to_string(words[2:5], ' ')) AS fact,
+                 CASE WHEN item_id % 2 = 0 THEN lower(array_to_string(words[7:10], ' ')) END AS alias
+          FROM ({ORACLE['r8_extractive_answers']}) JOIN (
+              SELECT item_id, string_split_regex(text, '\\s+') AS words FROM benchmark)
+          ON item_id = query_id)"""
+
 _OBSERVED = {
     "category_macro_f1": ("macro_f1", LEARNING["l11_classification_metrics"]),
     "urgent_recall": ("urgent_recall", LEARNING["l14_urgent_recall"]),
     "agent_routing_accuracy": ("routing_accuracy", _ROUTE_SCORE),
-    "answer_grounding": ("answer_contains_rate", _GROUND),
+    "answer_grounding": ("answer_contains_rate", ORACLE["e5_grounding"]),
+    "incident_f1": ("f1", SERIES["w9_detection_metrics"]),
+    "retrieval_hit@3": ("hit_at_3", f"SELECT hit_at_3 FROM ({ORACLE['e1_e2_retrieval_scores']}) "
+                                    "WHERE mode = 'hybrid+triage'"),
     "security_pass_rate": (
         "x", f"SELECT round_even(SUM(passed)::DOUBLE / SUM(cases), 3) AS x FROM "
              f"({ORACLE['e6_red_team']})"),
@@ -436,12 +506,11 @@ _OBSERVED = {
 ORACLE["e7_quality_gates"] = " UNION ALL ".join(
     f"SELECT '{metric}' AS metric, o.v AS observed, {minimum}::DOUBLE AS minimum, "
     f"COALESCE(o.v >= {minimum}, false) AS passed FROM (SELECT "
-    + (f"{_OBSERVED[metric][0]} AS v FROM ({_OBSERVED[metric][1]})" if metric in _OBSERVED
-       else "NULL::DOUBLE AS v")
-    + ") o"
+    f"{_OBSERVED[metric][0]} AS v FROM ({_OBSERVED[metric][1]})) o"
     for metric, minimum in QUALITY_GATES.items()
 )
 # No document has a blank line inside, so each gives its own section and the tail as one chunk each.
 ORACLE["r1_s10_build_index"] = (
-    "SELECT 2 * COUNT(*) AS chunks, COUNT(*) AS documents, 16::BIGINT AS dims FROM documents"
+    "SELECT 2 * COUNT(*) AS chunks, COUNT(*) AS documents, least(192, 2 * COUNT(*) - 1)::BIGINT AS dims "
+    "FROM documents"
 )

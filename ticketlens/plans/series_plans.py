@@ -97,15 +97,13 @@ def _drift_shares(s, d):
 
 
 def _rates(s, d):
-    events = Desk(s, d).table("events").select("event_id", "event_type", "ts")
-    return m.range_counts(events, "event_type", "ts", 3600).select("event_id", "in_window")
+    events = Desk(s, d).table("events").select("event_id", "user_id", "ts")
+    return m.range_counts(events, "user_id", "ts", 86400).select("event_id", "in_window")
 
 
 def _decisions(s, d):
-    events = Desk(s, d).table("events").select("event_id", "event_type", "ts")
-    return m.rate_decisions(events, "event_type", "ts", "event_id", 3600, 5).select(
-        "event_id", "event_type", "accepted"
-    )
+    events = Desk(s, d).table("events").select("event_id", "user_id", "ts")
+    return m.rate_decisions(events, "user_id", "ts", "event_id", 86400, 3)
 
 
 def _latency(s, d):
@@ -265,8 +263,8 @@ ORACLE = {
         "SELECT field, value, round_even(share, 3) AS share FROM a", "tickets_v",
         extra=f"{_SHARES}, {_RECENT}, {_share_sql('a', 'recent')}"),
     "m7_range_counts": """
-        SELECT event_id, COUNT(*) OVER (PARTITION BY event_type ORDER BY ts
-               RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS in_window FROM events""",
+        SELECT event_id, COUNT(*) OVER (PARTITION BY user_id ORDER BY ts
+               RANGE BETWEEN INTERVAL 24 HOURS PRECEDING AND CURRENT ROW) AS in_window FROM events""",
     "m8_latency_histogram": "SELECT route, le, requests, total_seconds FROM (" + " UNION ALL ".join(
         f"SELECT event_type AS route, '{le}' AS le, COUNT(*) FILTER (WHERE {test}) AS requests, "
         "ROUND(SUM(value / 50), 6) AS total_seconds FROM events GROUP BY event_type"
@@ -279,17 +277,17 @@ ORACLE = {
                   COUNT(*) AS value FROM tickets_v GROUP BY category, status""", "tickets_v"),
 }
 
-# The rate rule one request after the other, per key, with the times accepted in the last hour.
+# The rate rule one request after the other, per key, with the times accepted in the last day.
 ORACLE["m7_rate_decisions"] = """
     WITH RECURSIVE numbered AS MATERIALIZED (
-        SELECT event_id, event_type, ts,
-               row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS r FROM events),
+        SELECT event_id, user_id, ts,
+               row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
     walk AS (
-        SELECT event_id, event_type, r, true AS accepted, [ts] AS recent FROM numbered WHERE r = 1
+        SELECT event_id, user_id, ts, r, true AS accepted, [ts] AS recent FROM numbered WHERE r = 1
         UNION ALL
-        SELECT event_id, event_type, r, len(kept) < 5,
-               CASE WHEN len(kept) < 5 THEN list_append(kept, ts) ELSE kept END
-        FROM (SELECT n.event_id, n.event_type, n.r, n.ts,
-                     list_filter(w.recent, lambda t: n.ts - t <= INTERVAL 1 HOUR) AS kept
-              FROM walk w JOIN numbered n ON n.event_type = w.event_type AND n.r = w.r + 1))
-    SELECT event_id, event_type, accepted FROM walk"""
+        SELECT event_id, user_id, ts, r, len(kept) < 3,
+               CASE WHEN len(kept) < 3 THEN list_append(kept, ts) ELSE kept END
+        FROM (SELECT n.event_id, n.user_id, n.r, n.ts,
+                     list_filter(w.recent, lambda t: n.ts - t <= INTERVAL 24 HOURS) AS kept
+              FROM walk w JOIN numbered n ON n.user_id = w.user_id AND n.r = w.r + 1))
+    SELECT event_id, user_id, accepted, ts FROM walk"""

@@ -56,9 +56,9 @@ def _triage(s, d):
 
 def _rates(s, d):
     path = scratch_path(s, "rates")
-    events = LiveDesk(s, d).table("events").select("event_id", "event_type", "ts")
-    jobs.rate_stream(events, "event_type", "ts", "event_id", path, 3600, 5, True).awaitTermination()
-    return s.read.parquet(path).select("event_id", "event_type", "accepted")
+    events = LiveDesk(s, d).table("events").select("event_id", "user_id", "ts")
+    jobs.rate_stream(events, "user_id", "ts", "event_id", path, 86400, 3, once=True).awaitTermination()
+    return s.read.parquet(path).select("event_id", "user_id", "ts", "accepted")
 
 
 def _audit(s, d):

@@ -8,6 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ticketlens.functions.text import strip_space
 from ticketlens.session import spread, use_utc
 from ticketlens.sources.tables import read_table
 
@@ -234,6 +235,18 @@ class Desk:
         )
         return self.tickets.join(texts, "ticket_id", "left")
 
+    @cached_property
+    def ticket_marks(self) -> DataFrame:
+        """Every ticket with what a quality check needs of its text: ``body`` is null, empty if blank,
+        else a mark, and ``body_chars`` its length. No text is moved."""
+        text = F.col("text")
+        marks = self.documents.select(
+            F.col("doc_id").alias("ticket_id"),
+            F.when(strip_space(text) == "", "").when(text.isNotNull(), "text").alias("body"),
+            F.length(text).alias("body_chars"),
+        )
+        return self.tickets.join(marks, "ticket_id", "left")
+
     @cached_property
     def daily(self) -> DataFrame:
         return (

@@ -5,22 +5,24 @@ can be restarted after the loss of executors or of the driver."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ticketlens.fixed_values import DRIFT_WINDOW, RATE_LIMIT, RATE_WINDOW_SECONDS
 from ticketlens.operators.analytics import daily_counts
 from ticketlens.operators.classify import classify_masked
+from ticketlens.operators.monitoring import rate_decisions
 from ticketlens.operators.scale import latest_rows
 from ticketlens.sources.sinks import audit_records
 
 
+COUNTED = "day date, category string, n long, batch long"
+FOLDED = "day date, category string, n long, upto long, rows long"
+
+
 def read_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """Files of one table as they arrive: ``folder/name*.parquet``."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
@@ -50,12 +52,55 @@ def audit_stream(rows: DataFrame, event: str, path: str, once: bool = False) ->
     return _start(writer.option("path", path), f"{path}-checkpoint", once)
 
 
-def daily_counts_stream(tickets: DataFrame, path: str, once: bool = False) -> StreamingQuery:
-    """Counts per (day, category) of every micro-batch, one folder each. Nothing is held between
-    micro-batches, so a row counts however late it is; a repeated micro-batch overwrites its folder."""
+def _written(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    try:
+        return spark.read.schema(schema).parquet(path).select(*[
+            c.split(" ")[0] for c in schema.split(", ")])
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def _folded_counts(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+    """The newest complete fold and the micro-batch up to which it counts. A fold says how many rows it
+    has, so one that was interrupted is seen as such."""
+    best, upto = spark.createDataFrame([], FOLDED), -1
+    for side in (0, 1):
+        rows = _written(spark, f"{path}/folded/side={side}", FOLDED)
+        found = rows.agg(F.max("upto"), F.max("rows"), F.count("*")).first()
+        if found[0] is not None and found[1] == found[2] and found[0] > upto:
+            best, upto = rows, found[0]
+    return best, upto
+
+
+def _newer_counts(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+    folded, upto = _folded_counts(spark, path)
+    newer = _written(spark, f"{path}/ring", COUNTED).filter(F.col("batch") > upto)
+    both = folded.select("day", "category", "n").unionByName(newer.select("day", "category", "n"))
+    return both.groupBy("day", "category").agg(F.sum("n").alias("n")), upto
+
+
+def daily_counts_stream(tickets: DataFrame, path: str, once: bool = False,
+                        ring: int = 64) -> StreamingQuery:
+    """Counts per (day, category) of every micro-batch. Nothing is held between micro-batches, so a
+    row counts however late it is.
+
+    Micro-batches take turns in ``ring`` folders. The last of a round folds them into one table, on the
+    side that the fold before it did not use; readers add only what is newer than the fold they use,
+    so a micro-batch that is repeated, before or after its round was folded, changes nothing and
+    the number of folders stays the same."""
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        daily_counts(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        spark = batch.sparkSession
+        counts = daily_counts(batch).withColumn("batch", F.lit(batch_id).cast("long"))
+        counts.write.mode("overwrite").parquet(f"{path}/ring/slot={batch_id % ring}")
+        if (batch_id + 1) % ring == 0:
+            rows, upto = _newer_counts(spark, path)
+            if upto < batch_id:
+                marks = {"upto": F.lit(batch_id).cast("long"), "rows": F.lit(rows.count()).cast("long")}
+                side = batch_id // ring % 2
+                rows.withColumns(marks).write.mode("overwrite").parquet(f"{path}/folded/side={side}")
 
     writer = tickets.writeStream.outputMode("append").foreachBatch(append)
     return _start(writer, f"{path}-checkpoint", once)
@@ -63,7 +108,7 @@ def daily_counts_stream(tickets: DataFrame, path: str, once: bool = False) -> St
 
 def read_daily_counts(spark: SparkSession, path: str) -> DataFrame:
     """The counts of every (day, category) over all micro-batches so far."""
-    return spark.read.parquet(path).groupBy("day", "category").agg(F.sum("n").alias("n"))
+    return _newer_counts(spark, path)[0]
 
 
 def drift_stream(
@@ -98,32 +143,35 @@ def read_drift_window(spark: SparkSession, path: str) -> DataFrame:
 def rate_stream(
     requests: DataFrame, key: str, at: str, order: str, path: str,
     window: int = RATE_WINDOW_SECONDS, limit: int = RATE_LIMIT, once: bool = False,
+    lateness: int = 0,
 ) -> StreamingQuery:
-    """The sequential rate rule on arriving requests. The state of a key is the times of its
-    accepted requests in the last ``window`` seconds, at most ``limit`` numbers."""
-    columns = [(f.name, f.dataType.simpleString()) for f in requests.schema.fields]
-    output = ", ".join(f"`{n}` {t}" for n, t in [*columns, ("accepted", "boolean")])
-    names = [n for n, _ in columns]
-    span = window * 1_000_000
-
-    def decide(
-        group: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        del group
-        accepted = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["_t", order])  # one micro-batch of one key
-        flags = []
-        for t in rows["_t"].tolist():
-            accepted = [a for a in accepted if t - a <= span]
-            flags.append(len(accepted) < limit)
-            if flags[-1]:
-                accepted.append(t)
-        state.update((accepted,))
-        yield rows.assign(accepted=flags)[[*names, "accepted"]]
-
-    timed = requests.withColumn("_t", F.unix_micros(F.col(at).cast("timestamp")))
-    decided = timed.groupBy(key).applyInPandasWithState(
-        decide, output, "accepted array<long>", "append", GroupStateTimeout.NoTimeout
-    )
-    writer = decided.writeStream.format("parquet").outputMode("append").option("path", path)
+    """The sequential rate rule on arriving requests, decided micro-batch by micro-batch with the batch
+    rule, which takes a busy key apart into stretches.
+
+    What is kept between micro-batches is a table of accepted requests that can still matter: those
+    not older than ``window`` + ``lateness`` seconds before the newest request of all. A key that has
+    gone quiet leaves nothing behind, and no request is dropped: one that comes later than
+    ``lateness`` is judged with what is known by then. Two slots take turns, so a repeated
+    micro-batch finds the slot it started from unchanged."""
+    columns = [key, at, order]
+
+    def decide(batch: DataFrame, batch_id: int) -> None:
+        spark, before = batch.sparkSession, None
+        if batch_id > 0:
+            schema = batch.select(columns).schema
+            before = spark.read.schema(schema).parquet(f"{path}-accepted/slot={(batch_id - 1) % 2}")
+        decided = f"{path}/batch={batch_id}"
+        rate_decisions(batch.select(columns), key, at, order, window, limit, before).write.mode(
+            "overwrite").parquet(decided)
+        known = spark.read.parquet(decided)
+        accepted = known.filter("accepted").select(columns)
+        newest = known.select(at)
+        if before is not None:
+            accepted, newest = accepted.unionByName(before), newest.unionByName(before.select(at))
+        last = newest.agg(F.max(F.unix_micros(F.col(at).cast("timestamp")))).first()[0]
+        oldest = (last or 0) - (window + lateness) * 1_000_000
+        accepted.filter(F.unix_micros(F.col(at).cast("timestamp")) >= oldest).write.mode(
+            "overwrite").parquet(f"{path}-accepted/slot={batch_id % 2}")
+
+    writer = requests.writeStream.outputMode("append").foreachBatch(decide)
     return _start(writer, f"{path}-checkpoint", once)
