@@ -128,6 +128,17 @@ QUERIES = {
 }
 
 _DAY = "CAST(created_at AS DATE)"
+
+
+def _monthly_sql(view: str) -> str:
+    return with_views(
+        """SELECT month, n AS tickets, ROUND((n - previous) * 100::DOUBLE / previous, 1)
+                  AS mom_growth_pct FROM chained""", view,
+        extra=f"""months AS (SELECT substr(CAST(created_at AS VARCHAR), 1, 7) AS month,
+                                    COUNT(*) AS n FROM {view} GROUP BY 1),
+                 chained AS (SELECT *, LAG(n) OVER (ORDER BY month) AS previous FROM months)""")
+
+
 ORACLE = {
     "s1_read_table": "SELECT * FROM supplier",
     "s3_safe_customer_view": with_views("SELECT * FROM customer_safe_v", "customer_safe_v"),
@@ -151,12 +162,7 @@ ORACLE = {
         extra="""carried AS (SELECT carrier, COUNT(*) AS n,
                                     COUNT(*) FILTER (WHERE delivered_at > estimated_delivery) AS late
                              FROM orders_v WHERE status = 'delivered' GROUP BY carrier)"""),
-    "a4_monthly_volume": with_views(
-        """SELECT month, n AS tickets, ROUND((n - previous) * 100::DOUBLE / previous, 1)
-                  AS mom_growth_pct FROM chained""", "orders_v",
-        extra="""months AS (SELECT substr(CAST(created_at AS VARCHAR), 1, 7) AS month,
-                                   COUNT(*) AS n FROM orders_v GROUP BY 1),
-                 chained AS (SELECT *, LAG(n) OVER (ORDER BY month) AS previous FROM months)"""),
+    "a4_monthly_volume": _monthly_sql("orders_v"),
     "a5_csat_by_channel": with_views(
         """SELECT channel, rated AS tickets, ROUND(points::DOUBLE / rated, 2) AS avg_csat,
                   ROUND(low * 100::DOUBLE / rated, 1) AS detractors_pct FROM channels""", "tickets_v",
@@ -295,7 +301,8 @@ ORACLE = {
 ORACLE["a7_run_named"] = " UNION ALL ".join(
     f"SELECT '{name}' AS name, '{a.NAMED[name][0]}' AS description, CAST({key} AS VARCHAR) AS key, "
     f"{figure}::DOUBLE AS figure FROM ("
-    + ORACLE[next(k for k in ORACLE if k.endswith(f"_{name}"))] + ")"
+    + (_monthly_sql("tickets_v") if name == "monthly_volume"
+       else ORACLE[next(k for k in ORACLE if k.endswith(f"_{name}"))]) + ")"
     for name, (key, figure) in NAMED_FIGURES.items())
 _SLICES = ", ".join(
     f"CAST(SUM(('0x' || substr(row, {4 * i + 1}, 4))::BIGINT) AS VARCHAR)" for i in range(8))
