@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache, reduce
 
 import numpy as np
@@ -46,7 +46,7 @@ SLICE = 1 << 20
 
 DONE, PENDING, CONTEXT = range(3)
 
-_BASE, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
+_BASE = 0x9E3779B97F4A7C15
 _PLACE = np.uint64(0xFFFFFF)
 
 
