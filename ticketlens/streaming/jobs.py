@@ -24,11 +24,9 @@ FOLDED = "day date, category string, n long, upto long, rows long"
 
 
 def read_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """Files of one table as they arrive: ``folder/name*.parquet``."""
+    """Files of one table as they arrive: ``folder/name*.parquet``, files or directories of files."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet").parquet(
-        folder
-    )
+    return spark.readStream.schema(schema).parquet(f"{folder}/{name}*.parquet")
 
 
 def _start(writer, checkpoint: str, once: bool) -> StreamingQuery:
