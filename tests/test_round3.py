@@ -86,6 +86,7 @@ def test_keyword_query_makes_no_rows_of_grams(spark, monkeypatch):
         raise AssertionError("rows of n-grams")
     monkeypatch.setattr(f, "char_counts", none)
     assert entry.queries()["r3_keyword_topk"](spark, SMALL).count() > 0
+    assert entry.queries()["l2_tfidf_chars"](spark, SMALL).count() > 0
 
 
 @pytest.mark.parametrize("settings", [{"GRAMS_HELD": 5, "DOCUMENTS_HELD": 2}, {"BASE": 12}, {"BASE": 6}])
