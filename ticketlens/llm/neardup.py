@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketlens.llm.common import bounded_batches, free_name
@@ -36,8 +36,8 @@ K = 64
 PERCENT = 80
 #: the estimate may be this much below the wanted similarity (six standard deviations at k = 64)
 MARGIN = 30
-#: members of one block of a list
-BLOCK = 128
+#: members of one block of a list, and values of their sets, at most on average
+BLOCK, BLOCK_VALUES = 1024, 1 << 18
 #: distinct values of a block that are compared at once
 COLUMNS = 4096
 #: heads that a star round draws from every list, and the most rounds before all pairs are offered
@@ -118,11 +118,10 @@ def _least_overlap(n: Column, k: int, percent: int) -> Column:
 def postings(sets: DataFrame, values: str, k: int, percent: int) -> DataFrame:
     """value, cid, n, shared: the rarest values of every class that can matter, and how many of its
     values other classes have too."""
-    m = F.size(values)
-    long = sets.select("cid", "n", m.alias("m"), F.explode(values).alias("value"))
-    counted = sets.select(F.explode(values).alias("value")).groupBy("value").agg(
-        F.count("*").alias("df")).filter("df > 1")
-    common = long.join(counted, "value").groupBy("cid", "n", "m").agg(
+    long = sets.select("cid", "n", F.size(values).alias("m"), F.explode(values).alias("value"))
+    # The values are the bulk of what is moved here; counting where they meet moves them once.
+    counted = long.withColumn("df", F.count("*").over(Window.partitionBy("value"))).filter("df > 1")
+    common = counted.groupBy("cid", "n", "m").agg(
         F.sort_array(F.collect_list(F.struct("df", "value"))).alias("common"))
     places = F.col("m") - _least_overlap(F.col("n"), k, percent) + 1
     take = F.greatest(places - (F.col("m") - F.size("common")), F.lit(0)).cast("int")
@@ -170,14 +169,14 @@ def _open_pairs(named: DataFrame) -> int:
     return lists.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0
 
 
-def _cross_links(named: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links among all pairs of a list's members in different components. A list is cut into blocks;
-    a pair of blocks is one piece of work, to which the sets come once per member, so no pair is ever
-    a row unless it is a link."""
+def _meetings(named: DataFrame, percent: int) -> DataFrame:
+    """value, i, j, cid, comp: the members that meet where blocks i and j of a list do. Blocks are as
+    large as a task's memory allows, because a member is a row once per block of its list."""
     mixed = materialise(named.groupBy("value").agg(
-        F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("many")
-    ).filter("low < high").select("value", "many"), "mixed")
-    block = F.pmod(F.xxhash64("cid"), F.ceil(F.col("many") / BLOCK))
+        F.min("comp").alias("low"), F.max("comp").alias("high"),
+        F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_VALUES)).alias("blocks")
+    ).filter("low < high").select("value", "blocks"), "mixed")
+    block = F.pmod(F.xxhash64("cid"), F.col("blocks"))
     blocks = named.join(mixed, "value").groupBy("value", block.alias("block")).agg(
         F.collect_list(F.struct("cid", "n", "shared", "comp")).alias("members"))
     blocks = materialise(blocks, "blocks")
@@ -190,17 +189,27 @@ def _cross_links(named: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     met = left.join(right, "value").filter("i <= j").select(
         "value", "i", "j", F.array_union(with_partner("x", "y"), with_partner("y", "x")).alias("m"))
-    rows = met.select("value", "i", "j", F.explode("m").alias("m")).select(
-        "value", "i", "j", "m.cid", "m.comp").join(sets.select("cid", "set"), "cid")
+    return met.select("value", "i", "j", F.explode("m").alias("m")).select(
+        "value", "i", "j", "m.cid", "m.comp")
+
+
+def _cross_links(named: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links among all pairs of a list's members in different components. A list is cut into blocks;
+    a pair of blocks is one piece of work, to which the sets come once per member, so no pair is ever
+    a row unless it is a link."""
+    rows = _meetings(named, percent).join(sets.select("cid", "set"), "cid")
 
     def links(group: pd.DataFrame) -> pd.DataFrame:
         cids, comps = group["cid"].to_numpy(), group["comp"].to_numpy()
         sizes = np.array([len(v) for v in group["set"]])
         member = np.repeat(np.arange(len(cids)), sizes)
-        _, place = np.unique(np.concatenate(list(group["set"])), return_inverse=True)
+        _, place, many = np.unique(np.concatenate(list(group["set"])), return_inverse=True,
+                                   return_counts=True)
         common = np.zeros((len(cids), len(cids)), dtype=np.float32)
+        met = many > 1  # a value that one member alone has is common to no two
+        member, place = member[met[place]], (np.cumsum(met) - 1)[place[met[place]]]
         order = np.argsort(place, kind="stable")
-        edges = np.searchsorted(place[order], np.arange(0, int(place.max()) + COLUMNS + 1, COLUMNS))
+        edges = np.searchsorted(place[order], np.arange(0, int(met.sum()) + COLUMNS, COLUMNS))
         for k, (start, end) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
             some = order[start:end]
             cells = np.zeros((len(cids), COLUMNS), dtype=np.float32)
