@@ -38,10 +38,14 @@ def triage_stream(
     rows: DataFrame, category_model: PipelineModel, priority_model: PipelineModel, path: str,
     once: bool = False,
 ) -> StreamingQuery:
-    """Arriving texts, masked and classified, appended to a parquet table."""
-    done = classify_masked(rows, category_model, priority_model)
-    writer = done.writeStream.format("parquet").outputMode("append").option("path", path)
-    return _start(writer, f"{path}-checkpoint", once)
+    """Arriving texts, masked and classified: one folder per micro-batch of a parquet table, written
+    anew if a micro-batch is repeated."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        done = classify_masked(batch, category_model, priority_model)
+        done.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return _start(rows.writeStream.foreachBatch(write), f"{path}-checkpoint", once)
 
 
 def audit_stream(rows: DataFrame, event: str, path: str, once: bool = False) -> StreamingQuery:
