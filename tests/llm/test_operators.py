@@ -240,3 +240,20 @@ def test_pages(spark):
     assert got[3] == "Head\nOne & two three\nFour five" and got[90] == got[91] == ""
     empty = html_text.fit_labeller(pages.limit(0))
     assert html_text.extract_text(pages.limit(0), empty).count() == 0
+
+
+def test_components_end_with_the_step_that_makes_stars(spark, monkeypatch):
+    """Closing links writes two tables per step, and no step follows only to see that nothing changes."""
+    written, write = [], neardup.materialise
+    monkeypatch.setattr(neardup, "materialise", lambda df, label: written.append(label) or write(df, label))
+    star = write(spark.createDataFrame([(1, b) for b in range(2, 9)] + [(3, 9), (3, 9)], "a long, b long"), "star")
+    found = {r["cid"]: r["comp"] for r in neardup.connected(star).collect()}
+    assert found == {n: 1 for n in range(2, 10)}
+    assert len(written) <= 4
+    del written[:]
+    plain = write(spark.createDataFrame([(1, b) for b in range(2, 9)], "a long, b long"), "star")
+    components = neardup.connected(plain)
+    assert written == ["large", "small"]
+    more = write(spark.createDataFrame([(8, 20), (30, 31)], "a long, b long"), "links")
+    joined = {r["cid"]: r["comp"] for r in neardup._joined(components, more).collect()}
+    assert joined == {**{n: 1 for n in range(2, 9)}, 20: 1, 31: 30}

@@ -8,8 +8,9 @@
    document leaves no entry. The classes with entries get their full sets, and the same lists over
    full sets (``c`` is then exact) leave out documents that only share a passage with others.
 3. Star rounds: every list offers its members to a few central members, which is linear in the list
-   and joins groups of copies. What lists still hold of different components is offered pair by pair
-   at the end, block by block; nothing is capped.
+   and joins groups of copies. Rounds end when one leaves more than half of the open pairs. What lists
+   still hold of different components is offered pair by pair at the end, block by block; nothing is
+   capped.
 4. The union of two sketches estimates their similarity; pairs far below are dropped.
 5. The rest is decided on full sets, and links are closed to components by alternating star steps.
 
@@ -115,9 +116,9 @@ def _least_overlap(n: Column, k: int, percent: int) -> Column:
     return F.when(n * 100 <= percent * k, whole).otherwise(F.lit(k // 2))
 
 
-def postings(sets: DataFrame, values: str, k: int, percent: int) -> DataFrame:
-    """value, cid, n, shared: the rarest values of every class that can matter, and how many of its
-    values other classes have too."""
+def _rarest(sets: DataFrame, values: str, k: int, percent: int) -> DataFrame:
+    """cid, n, shared, rarest: the rarest values of every class that can matter, and how many of its
+    values other classes have too. One row per class that has such values."""
     long = sets.select("cid", "n", F.size(values).alias("m"), F.explode(values).alias("value"))
     # The values are the bulk of what is moved here; counting where they meet moves them once.
     counted = long.withColumn("df", F.count("*").over(Window.partitionBy("value"))).filter("df > 1")
@@ -127,7 +128,12 @@ def postings(sets: DataFrame, values: str, k: int, percent: int) -> DataFrame:
     take = F.greatest(places - (F.col("m") - F.size("common")), F.lit(0)).cast("int")
     shared = F.size("common").cast("long")
     kept = common.select("cid", "n", shared.alias("shared"), F.slice("common", 1, take).alias("c"))
-    return kept.select("cid", "n", "shared", F.explode("c.value").alias("value"))
+    return kept.filter(F.size("c") > 0).select("cid", "n", "shared", F.col("c.value").alias("rarest"))
+
+
+def postings(sets: DataFrame, values: str, k: int, percent: int) -> DataFrame:
+    """value, cid, n, shared: ``_rarest`` as inverted lists."""
+    return _rarest(sets, values, k, percent).select("cid", "n", "shared", F.explode("rarest").alias("value"))
 
 
 def _may_link(a: Column, b: Column, percent: int) -> Column:
@@ -273,27 +279,42 @@ def _full_sets(docs: DataFrame, key: str, text: str, width: int, wanted: DataFra
     return found.mapInPandas(read, "cid long, n long, set array<long>").dropDuplicates(["cid"])
 
 
+def _is_forest(edges: DataFrame) -> bool:
+    """Whether every u hangs on one v that hangs on nothing: a star step would change nothing."""
+    ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
+        edges.select("v", F.lit(0), F.lit(1)))
+    sums = ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return sums.filter("up > 1 OR (up = 1 AND down = 1)").isEmpty()
+
+
 def connected(links: DataFrame) -> DataFrame:
     """cid, comp (smallest member) of all members of ``links`` (a, b), by alternating steps: large
-    star hangs larger neighbours on the smallest one, small star the smaller ones."""
-    edges = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-                        .filter("u != v").distinct(), "edges")
-    before = None
+    star hangs larger neighbours on the smallest one, small star the smaller ones. ``links`` is read
+    several times, so it should be a written table."""
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v")
     while True:
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(
             "u", F.least("u", "m").alias("m"))
+        # One row per edge, so repeated ones need not be dropped before the small star.
         large = materialise(both.join(least, "u").filter("v > u").select(
-            F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+            F.col("v").alias("u"), F.col("m").alias("v")), "large")
         smallest = large.groupBy("u").agg(F.min("v").alias("m"))
         met = large.join(smallest, "u")
         small = met.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").union(
             smallest.select("u", F.col("m").alias("v"))).distinct()
         edges = materialise(small, "small")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
+        if _is_forest(edges):
             return edges.select(F.col("u").alias("cid"), F.col("v").alias("comp"))
-        before = now
+
+
+def _joined(components: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The components after ``links`` are added: a component goes in as its members' links to its
+    smallest one."""
+    if components is None:
+        return connected(links)
+    return connected(links.unionByName(
+        components.select(F.col("cid").alias("a"), F.col("comp").alias("b"))))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5,
@@ -312,7 +333,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     classes = materialise(found.groupBy("digest").agg(
         F.min("key").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")
     ).select(F.monotonically_increasing_id().alias("cid"), "*"), "classes")
-    near = postings(classes, "sketch", k, percent).select("cid").distinct()
+    near = _rarest(classes, "sketch", k, percent).select("cid")
     wanted = classes.select("cid", "rep", "digest").join(near, "cid", "left_semi")
     sets = materialise(_full_sets(docs, key, text, width, wanted), "sets")
     everything = (classes.agg(F.max("n")).first()[0] or 0) * 100 + 100
@@ -323,20 +344,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         good = materialise(_promising(pairs, classes, k, percent), "pairs")
         return materialise(_links(good, sets, percent), "links")
 
-    links, components = None, None
+    components, before = None, None
     for seed in range(STAR_ROUNDS):
         named = materialise(_with_components(entries, components), "named")
-        if _open_pairs(named) <= size:
+        now = _open_pairs(named)
+        if now <= size or (before is not None and now * 2 > before):
             break
+        before = now
         found_now = linked_now(_star_pairs(named, percent, seed))
-        if not found_now.limit(1).count():
+        if found_now.isEmpty():
             break
-        links = found_now if links is None else links.unionByName(found_now)
-        components = materialise(connected(links), "components")
-    named = materialise(_with_components(entries, components), "named")
+        components = _joined(components, found_now)
+    else:
+        named = materialise(_with_components(entries, components), "named")
     rest = materialise(_cross_links(named, sets, percent), "links")
-    if rest.limit(1).count():
-        components = connected(rest if links is None else links.unionByName(rest))
+    if not rest.isEmpty():
+        components = _joined(components, rest)
     if components is None:
         components = classes.select("cid", F.col("cid").alias("comp")).limit(0)
     named = classes.select("cid", "digest", "rep").join(components, "cid", "left").select(
