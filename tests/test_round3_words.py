@@ -4,6 +4,7 @@ import math
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from ticketlens.operators import features as f
 from ticketlens.operators import words as w
@@ -48,3 +49,16 @@ def test_texts_of_one_key_are_one_and_no_pair_reaches_from_one_to_the_next(spark
     got = {(r["k"], r["term"]) for r in f.tfidf_words(docs, "k", "text", 1).collect()}
     assert got == {(1, t) for t in ("aa", "bb", "cc", "dd", "aa bb", "cc dd")} | {
         (2, t) for t in ("aa", "bb", "aa bb")}
+
+
+def test_class_sums_are_made_before_terms_become_rows(spark, monkeypatch):
+    monkeypatch.setattr(w, "WORDS_HELD", 4)
+    labels = ["de", "en", "de", None, "en", "de"]
+    docs = spark.createDataFrame([(k, t, v) for (k, t), v in zip(TEXTS, labels)], "k long, text string, lang string")
+    sums = f.known_words(docs, "k", "text", 2, False, "lang").sums_by_group()
+    assert "Generate" not in _plan(sums)
+    got = {(r["term"], r["own"]): r["s"] for r in sums.groupBy("term", "own").agg(F.sum("sum").alias("s")).collect()}
+    want = Counter()
+    for (k, term), weight in _expected(TEXTS, 2, False).items():
+        want[term, labels[k - 1]] += weight
+    assert got == pytest.approx(dict(want))
