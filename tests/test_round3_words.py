@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from ticketlens.operators import classify as c
 from ticketlens.operators import features as f
 from ticketlens.operators import words as w
 
@@ -62,3 +63,22 @@ def test_class_sums_are_made_before_terms_become_rows(spark, monkeypatch):
     for (k, term), weight in _expected(TEXTS, 2, False).items():
         want[term, labels[k - 1]] += weight
     assert got == pytest.approx(dict(want))
+
+
+@pytest.mark.parametrize("held", [4, 1 << 20])
+def test_bayes_in_pieces_equals_the_long_form(spark, monkeypatch, held):
+    monkeypatch.setattr(w, "WORDS_HELD", held)
+    labels, classes = ["de", "en", "de", None, "fr", "de"], ["de", "en"]
+    more = TEXTS + [(7, "ee dd cc"), (8, "zz log")]
+    docs = spark.createDataFrame([(k, t, v) for (k, t), v in zip(more, [*labels, None, "en"])],
+                                 "k long, text string, lang string")
+    weights = f.tfidf_words(docs, "k", "text")
+    long = c.bayes_predict(docs, weights, c.bayes_fit(weights, docs, "k", "lang", classes), "k", classes)
+    got = c.bayes_fitted_on(docs, "k", "text", "lang", classes)
+    assert "Generate" not in _plan(got)
+    want = {r["k"]: (r["prediction"], r["confidence"]) for r in long.collect()}
+    assert len(want) == 8
+    for row in got.collect():
+        assert (row["prediction"], row["confidence"]) == (want[row["k"]][0], pytest.approx(want[row["k"]][1]))
+    twice = docs.union(docs.filter("k = 1").withColumn("lang", F.lit("en")))
+    assert c.bayes_fitted_on(twice, "k", "text", "lang", classes).count() == 9
